@@ -89,3 +89,55 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Entries of a vector that travel as one row.
+PART = 64
+
+
+def vector_rows(vectors) -> "object":
+    """A task's partial sums, ``{key: float64 or int64 vector}``, as an Arrow batch ``key, part, total``.
+
+    Parts that are all zero are left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys, parts, values = [], [], []
+    for key, vector in vectors.items():
+        padded = np.zeros(-(-len(vector) // PART) * PART)
+        padded[: len(vector)] = vector
+        blocks = padded.reshape(-1, PART)
+        for i in np.flatnonzero(blocks.any(axis=1)).tolist():
+            keys.append(key)
+            parts.append(i)
+            values.append(blocks[i].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(parts, pa.int32()), pa.array(values, pa.binary())], names=["key", "part", "total"])
+
+
+VECTOR_ROWS = "key int, part int, total binary"
+
+
+def sum_vectors(partials: DataFrame, sizes: dict) -> dict:
+    """Sums of tasks' partial vectors, added up on the executors; ``sizes``: each key's length.
+
+    What reaches the driver is one vector a key, however large the corpus is.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        totals: dict = {}
+        for batch in batches:
+            for key, part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                values = np.frombuffer(raw.as_py())
+                at = (key, part)
+                totals[at] = totals[at] + values if at in totals else values
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in totals], pa.int32()), pa.array([p for _, p in totals], pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["key", "part", "total"])
+
+    n = shuffle_partitions(partials.sparkSession)
+    out = {key: np.zeros(-(-size // PART) * PART) for key, size in sizes.items()}
+    for row in partials.repartition(n, "key", "part").mapInArrow(run, VECTOR_ROWS).collect():
+        out[row.key][row.part * PART : (row.part + 1) * PART] += np.frombuffer(bytes(row.total))
+    return {key: out[key][:size] for key, size in sizes.items()}

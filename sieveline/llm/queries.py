@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hypershuffle, kk_pack, rans, simhash_gray
+from . import centroids, decontaminate, divergence, edit_counts, html_region, hypershuffle, importance, kk_pack, rans, simhash_gray
 from .tokens import vocabulary_path
 
 
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("found", 4).alias("found"), F.round("common", 4).alias("common"))
+
+
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded, freq = rans.write(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     return rans.read(encoded, freq).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -43,17 +48,44 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_scored_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    weights = html_region.weights_from(html_region.labelled_sample(pages, "page_id"))
+    return html_region.extract_main_text(pages, weights).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = kk_pack.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_grams", "weight", "score", "kept")
+
+
+def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = vocabulary_path("byte_bpe_50k.json")
+    trees = edit_counts.build_trees(table(spark, sf_dir, "documents"), vocabulary)
+    edited = edit_counts.update_trees(trees, vocabulary, edit_counts.redactions)
+    return edited.select("doc_id", "n_before", "n_edits", "n_tokens", "reencoded_chars", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op2_rans_tokens": op2_rans_tokens,
     "op3_gray_simhash": op3_gray_simhash,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
+    "op6_scored_html_region": op6_scored_html_region,
     "op7_differencing_pack": op7_differencing_pack,
+    "op8_importance_resampling": op8_importance_resampling,
+    "op9_nearest_centroid": op9_nearest_centroid,
+    "op10_edit_token_counts": op10_edit_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
