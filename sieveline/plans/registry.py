@@ -1,10 +1,31 @@
-"""All registered queries of the reference families and their DuckDB SQL."""
+"""All registered queries of the engine's families and their DuckDB SQL."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register ``f(spark, t)``, where ``t("table")`` reads a table of the given folder."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        run.__name__ = run.__qualname__ = name
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+for family in ("usage", "joins", "scalars", "search", "graph", "ingest", "evaluation"):
+    importlib.import_module(f"sieveline.plans.{family}_queries")
