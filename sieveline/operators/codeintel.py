@@ -131,7 +131,7 @@ def manifest_dependencies(path: Column, content: Column) -> Column:
         F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(r"(?s)\brequire \(([^)]*)\)"), F.lit(1)), lambda b: F.split(b, "\n"))),
         F.regexp_extract_all(bare, F.lit(r"(?m)^\s*require[ \t]+([^\s(]+[ \t]+\S+)"), F.lit(1)),
     )
-    go = _deps(F.filter(F.transform(go_lines, F.trim), lambda x: x.rlike(r"^\S+\s+\S+")), "go", part(r"^(\S+)"), part(r"^\S+\s+(\S+)"), "", "direct", "go modules")
+    go = _deps(F.filter(F.transform(go_lines, trim_space), lambda x: x.rlike(r"^\S+\s+\S+")), "go", part(r"^(\S+)"), part(r"^\S+\s+(\S+)"), "", "direct", "go modules")
     doc = F.from_json(content, "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, pins array<struct<identity:string,package:string,location:string,state:struct<version:string>>>")
     entries = lambda f, scope: F.coalesce(F.transform(F.map_entries(doc[f]), lambda e: F.struct(F.lit("npm").alias("ecosystem"), F.trim(e["key"]).alias("name"), F.trim(e["value"]).alias("constraint_text"), F.lit("").alias("resolved_version"), F.lit(scope).alias("scope"), F.lit("npm manifest").alias("source"))), F.array().cast(f"array<{DEPENDENCY}>"))
     npm = F.concat(entries("dependencies", "runtime"), entries("devDependencies", "development"), entries("peerDependencies", "peer"))

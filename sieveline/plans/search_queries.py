@@ -81,9 +81,9 @@ def results(t):
 
 
 @query("W10_fuse_projects", f"""WITH {_RES}, k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY source_rank) AS r FROM res)
- SELECT project, path, start_line, end_line, round(sum(1.0 / (60 + r)), 6) AS fusion, max(score) AS score, arg_min(source_rank, r) AS source_rank FROM k GROUP BY 1, 2, 3, 4""")
+ SELECT project, path, start_line, end_line, round(sum(1.0 / (60 + r)), 4) AS fusion, max(score) AS score, arg_min(source_rank, r) AS source_rank FROM k GROUP BY 1, 2, 3, 4""")
 def _(spark, t):
-    return r.fuse_projects(results(t)).withColumn("fusion", F.round("fusion", 6))
+    return r.fuse_projects(results(t)).withColumn("fusion", F.round("fusion", 4))
 
 
 @query("W11_over_fetch", f"WITH {_RES} SELECT project, path, start_line, score, row_number() OVER (PARTITION BY project ORDER BY score DESC, path, start_line) AS source_rank FROM res QUALIFY row_number() OVER (PARTITION BY project ORDER BY score DESC, path, start_line) <= 10")
