@@ -89,7 +89,7 @@ class Tree:
     def update(self, text: str, edits: list[Edit], encoder: PieceTokenizer) -> tuple[str, int]:
         """Apply edits (places in ``text``); the new text and how many characters were encoded again."""
         groups: list[list] = []  # first leaf, last leaf, start, end, edits
-        for start, end, new in sorted(edits):
+        for start, end, new in sorted(edits, key=lambda e: e[:2]):
             start, end = min(max(0, start), len(text)), min(max(start, end), len(text))
             (i, a), (j, b) = self.leaf(max(0, start - 2)), self.leaf(max(0, min(len(text), end + 2) - 1))
             b += int(self.chars[self.half + j])
