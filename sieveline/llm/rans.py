@@ -75,7 +75,7 @@ class Table:
 
 
 def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> bytes:
-    """One block. ``ids``: uint32."""
+    """One block of unsigned ids of any width."""
     n = len(ids)
     lanes = max(1, min(lanes, n // 16))
     steps = -(-n // lanes)
@@ -139,7 +139,7 @@ def decode(payload: bytes, table: Table, part: int | None = None) -> np.ndarray:
     return ids
 
 
-_BLOCKS = "shard int, block int, start long, doc_ids array<long>, doc_lens array<long>, ids binary"
+_BLOCKS = "shard int, block int, start long, doc_ids array<long>, doc_lens array<long>, width int, ids binary"
 _FILE = "shard int, block int, start long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
 
@@ -151,21 +151,23 @@ _ARROW = [("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), (
 
 
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 0, block_ids: int = BLOCK_IDS, shards: int | None = None) -> DataFrame:
-    """``doc_id, text`` -> blocks of whole documents' ids (u32) in ascending ``doc_id`` order, by shard.
+    """``doc_id, text`` -> blocks of whole documents' ids (of ``width`` bytes) in ascending ``doc_id`` order, by shard.
 
     A block closes at the first document that brings it to ``block_ids``; one of
     any length is never split, as its row holds it whole in the input too.
     """
     ship(docs.sparkSession)
     tail = struct.pack("<I", end_id)
-    schema = pa.schema([*_ARROW, ("ids", pa.binary())])
+    schema = pa.schema([*_ARROW, ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
         encoder, shard = tokenizer(vocabulary), TaskContext.get().partitionId()
         names, lens, parts, held, start, block = [], [], [], 0, 0, 0
 
         def row():
-            return _rows([{"shard": shard, "block": block, "start": start, "doc_ids": names, "doc_lens": lens, "ids": b"".join(parts)}], schema)
+            ids = b"".join(parts)
+            ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids
+            return _rows([{"shard": shard, "block": block, "start": start, "width": 2 if narrow else 4, "doc_ids": names, "doc_lens": lens, "ids": ids}], schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -182,6 +184,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 0, block_ids: i
             yield row()
 
     n = shards or shuffle_partitions(docs.sparkSession)
+    narrow = tokenizer(vocabulary).whole.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
     return docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _BLOCKS)
 
 
@@ -192,8 +195,8 @@ def corpus_counts(blocks: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+            for ids, width in zip(batch.column(0), batch.column(1).to_pylist()):
+                counts = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"))
                 if len(counts) > len(total):
                     total = np.pad(total, (0, len(counts) - len(total)))
                 total[: len(counts)] += counts
@@ -201,7 +204,7 @@ def corpus_counts(blocks: DataFrame) -> DataFrame:
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], schema=schema)
 
-    return blocks.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return blocks.select("ids", "width").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequency_table(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +223,7 @@ def encode_blocks(blocks: DataFrame, ids: np.ndarray, freq: np.ndarray) -> DataF
         table = Table(*shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
-                payload = encode(np.frombuffer(batch.column("ids")[i].as_py(), "<u4"), table)
+                payload = encode(np.frombuffer(batch.column("ids")[i].as_py(), f"<u{batch.column('width')[i].as_py()}"), table)
                 part = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c, _ in _ARROW), pa.array([payload], pa.binary())], schema=schema)
 

@@ -18,8 +18,9 @@ import unicodedata
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept per worker before the cache starts anew; bounds its memory.
-MAX_PIECES = 600_000
+#: Pieces, and letter runs within them, kept per worker before a cache starts anew; bounds its memory.
+MAX_PIECES = 300_000
+MAX_CORES = 1_500_000
 #: Longer pieces are encoded each time and never kept.
 MAX_PIECE_CHARS = 48
 
@@ -66,6 +67,9 @@ class PieceTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        if hasattr(self.model, "_resize_cache"):  # the pieces are cached here
+            self.model._resize_cache(0)
+        self.packed = [struct.pack("<I", i) for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
         self.lowers = self.whole.normalizer is not None  # the word vocabulary: lower case, no white space
         self.pieces = _Pieces(self)
         self.marks: dict[str, bytes] = {m: self._pack(self.whole.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"}
@@ -85,7 +89,7 @@ class PieceTokenizer:
             ids = self.cores.get(core)
             if ids is None:
                 ids = self._merge(core)
-                if len(self.cores) >= MAX_PIECES:
+                if len(self.cores) >= MAX_CORES:
                     self.cores.clear()
                 self.cores[core] = ids
             return ids if mark is None else ids + mark
@@ -102,7 +106,8 @@ class PieceTokenizer:
             if not word.isalpha():
                 return self.encode_whole(" " + core)
         letters = word if word.isascii() else "".join(_ALPHABET[b] for b in word.encode())
-        return self._pack([t.id for t in self.model.tokenize(letters if self.lowers else _SPACE + letters)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(letters if self.lowers else _SPACE + letters)])
 
     def ids(self, text: str) -> bytes:
         if not text:
