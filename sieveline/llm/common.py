@@ -38,14 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """A wide table written as compressed Parquet into the shared folder.
 
     The files go when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

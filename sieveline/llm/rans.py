@@ -139,7 +139,7 @@ def decode(payload: bytes, table: Table, part: int | None = None) -> np.ndarray:
     return ids
 
 
-_BLOCKS = "shard int, block int, start long, doc_ids array<long>, doc_lens array<long>, width int, ids binary"
+_BLOCKS = "shard int, block int, start long, doc_ids array<long>, doc_lens array<long>, width int, ids binary, counts binary"
 _FILE = "shard int, block int, start long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
 
@@ -158,16 +158,18 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 0, block_ids: i
     """
     ship(docs.sparkSession)
     tail = struct.pack("<I", end_id)
-    schema = pa.schema([*_ARROW, ("width", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([*_ARROW, ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         encoder, shard = tokenizer(vocabulary), TaskContext.get().partitionId()
         names, lens, parts, held, start, block = [], [], [], 0, 0, 0
+        total = np.zeros(encoder.whole.get_vocab_size() + end_id + 1, np.int64)
 
         def row():
-            ids = b"".join(parts)
-            ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids
-            return _rows([{"shard": shard, "block": block, "start": start, "width": 2 if narrow else 4, "doc_ids": names, "doc_lens": lens, "ids": ids}], schema)
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            counts = np.bincount(ids)
+            total[: len(counts)] += counts
+            return _rows([{"shard": shard, "block": block, "start": start, "width": 2 if narrow else 4, "doc_ids": names, "doc_lens": lens, "ids": (ids.astype("<u2") if narrow else ids).tobytes()}], schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -182,6 +184,8 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 0, block_ids: i
                     names, lens, parts, held = [], [], [], 0
         if names:
             yield row()
+        if total.any():
+            yield _rows([{"shard": shard, "block": -1, "start": start + held, "doc_ids": [], "doc_lens": [], "counts": total.tobytes()}], schema)
 
     n = shards or shuffle_partitions(docs.sparkSession)
     narrow = tokenizer(vocabulary).whole.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
@@ -189,22 +193,17 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 0, block_ids: i
 
 
 def corpus_counts(blocks: DataFrame) -> DataFrame:
-    """``token, n``: how often each id occurs in all blocks."""
+    """``token, n``: how often each id occurs in all shards; reads their counts only."""
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"))
-                if len(counts) > len(total):
-                    total = np.pad(total, (0, len(counts) - len(total)))
-                total[: len(counts)] += counts
-        seen = np.flatnonzero(total)
-        if len(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], schema=schema)
+            for raw in batch.column(0):
+                counts = np.frombuffer(raw.as_py(), np.int64)
+                seen = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], schema=schema)
 
-    return blocks.select("ids", "width").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return blocks.select("counts").where("counts is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequency_table(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +226,7 @@ def encode_blocks(blocks: DataFrame, ids: np.ndarray, freq: np.ndarray) -> DataF
                 part = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c, _ in _ARROW), pa.array([payload], pa.binary())], schema=schema)
 
-    return blocks.mapInArrow(run, _FILE)
+    return blocks.where("block >= 0").drop("counts").mapInArrow(run, _FILE)
 
 
 def decode_blocks(encoded: DataFrame, ids: np.ndarray, freq: np.ndarray) -> DataFrame:
@@ -252,9 +251,9 @@ def decode_blocks(encoded: DataFrame, ids: np.ndarray, freq: np.ndarray) -> Data
 
 def write(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
     """Tokenize, count, encode and write; returns the written table and its frequency table."""
-    blocks = stage(token_blocks(only(docs, doc_id=id_col, text=text_col), vocabulary, end_id, shards=shards), "token-blocks")
+    blocks = stage(token_blocks(only(docs, doc_id=id_col, text=text_col), vocabulary, end_id, shards=shards), "token-blocks", "snappy")
     table = frequency_table(blocks)
-    return stage(encode_blocks(blocks, *table), "rans"), table
+    return stage(encode_blocks(blocks, *table), "rans", "none"), table
 
 
 def read(encoded: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
