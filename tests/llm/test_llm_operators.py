@@ -425,6 +425,11 @@ def test_op1_common_subsequence():
         assert decontaminate.common(a, b) == slow(a, b)
 
 
+def test_op1_keys_are_words(texts):
+    for x in [*ODD, "İ x", "«a» b…c d_e", "ñandú-É", *list(texts.values())[:50]]:
+        assert [k.decode() for k in decontaminate.keys(x)] == decontaminate.words(x)
+
+
 def leak_rows(spark, item, extra=()):
     rng = random.Random(7)
     filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
