@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, divergence, edit_counts, html_region, hypershuffle, importance, kk_pack, rans, simhash_gray
+from . import centroids, decontaminate, divergence, divergence_sql, edit_counts, html_region, hypershuffle, importance, kk_pack, rans, simhash_gray
 from .tokens import vocabulary_path
 
 
@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_edit_token_counts": op10_edit_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_distribution_divergence": divergence_sql.oracle()}
