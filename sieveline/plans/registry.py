@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers find the package where the driver found it; elsewhere it is shipped with the job's files."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+
+
 def query(name: str, sql: str | None = None):
     """Register ``f(spark, t)``, where ``t("table")`` reads a table of the given folder."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reachable(spark)
             return f(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         run.__name__ = run.__qualname__ = name
