@@ -1,0 +1,234 @@
+"""Near-duplicates by the Jaccard similarity of five-word shingle sets.
+
+The pipeline's near-duplicate stage links texts whose sets of shingles are
+similar by at least ``LEAST``. At 0.8 two 64-bit fingerprints differ in about ten
+bits, too many for an index of leading bits to prune anything, so candidates come
+from bands of minimum hashes here and every one is checked on the sets themselves:
+
+1. Texts with equal sets are one node. A node has ``BANDS`` keys, each of
+   ``ROWS`` minimum hashes; a pair similar by s shares no key with probability
+   (1 - s ** ROWS) ** BANDS, which is below 0.0001 at 0.8.
+2. A node is checked against the least node of its keys, then against the least
+   node of each key. Keys that still hold several components then travel with
+   their sets, and a key's task checks every pair between two components whose
+   minimum hashes agree in part (``SLACK``). Rows grow with a group's size, not its square.
+3. Components come from ``simhash_gray.components``.
+
+Words are those of ``simhash_gray.fingerprint``. A text of fewer words than a
+shingle has one shingle, a null or empty one none; all of the latter are one node.
+Rows with a null id take no part in checks.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, only, ship, shuffle_partitions, stage
+from .simhash_gray import components
+
+SEED = 42
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 24, 5
+#: Pairs of one key are checked if at least ``LEAST - SLACK`` of their minimum hashes agree: over five standard deviations.
+SLACK = 0.2
+_RNG = np.random.default_rng(SEED)
+_ODD = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+_TIMES = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Codes(dict):
+    """Hash of a word; a bounded cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_CODES = _Codes()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles' hashes in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    codes = np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
+    width = min(size, len(words))
+    total = len(words) - width + 1
+    sums = np.full(total, width, np.uint64)
+    for j in range(width):
+        sums = _mixed(sums + codes[j : j + total] * _ODD[j % 64])
+    return np.unique(sums)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048] * _TIMES + _PLUS).min(axis=1), out=least)
+    return least
+
+
+def _keys_of(least: np.ndarray) -> np.ndarray:
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key + column)
+    return key.view(np.int64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band; none for an empty set."""
+    return _keys_of(minima(hashes)) if len(hashes) else np.zeros(0, np.int64)
+
+
+def _node(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
+
+
+def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, node, n, bands``: each row's set, the number of its shingles and its keys."""
+    ship(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
+            columns = [batch.column(0).cast(pa.int64()), [_node(s) for s in sets], [len(s) for s in sets], [band_keys(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:]))], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``node, hashes``: the sets themselves, as bytes."""
+    ship(docs.sparkSession)
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingles(t.as_py(), size) for t in batch.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "node long, hashes binary")
+
+
+def _is_similar(p: np.ndarray, q: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= least * (len(p) + len(q) - both) - 1e-9
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets are similar enough."""
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                keep.append(_is_similar(p, q, least))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+
+
+def _links(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], key: int, least: float) -> list[tuple[int, int]]:
+    """Links between components among the nodes of one key, those that look most similar first.
+
+    A pair is left to the first key that it shares.
+    """
+    low = [minima(s) for s in sets]
+    keys = np.array([_keys_of(x) for x in low])
+    band = np.argmax((keys == key).any(axis=0))
+    low, sizes, part = np.array(low).astype(np.uint32), np.array([len(s) for s in sets]), roots.copy()
+    out = []
+    for i in range(1, len(nodes)):
+        j = np.flatnonzero((part[:i] != part[i]) & (np.minimum(sizes[:i], sizes[i]) >= np.maximum(sizes[:i], sizes[i]) * least - 1e-9))
+        j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
+        share = (low[j] == low[i]).mean(axis=1)
+        likely = share >= least - SLACK
+        for x in j[likely][np.argsort(-share[likely], kind="stable")].tolist():
+            if part[x] != part[i] and _is_similar(sets[x], sets[i], least):
+                out.append((int(nodes[x]), int(nodes[i])))
+                part[part == part[x]] = part[i]
+    return out
+
+
+def linked_within_keys(rest: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Links ``a, b`` between components (``root``) among the nodes of each ``key``; a set travels once a key."""
+    ship(rest.sparkSession)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def finish(key, held):
+        found = _links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], key, least) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            for key, node, root, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if key != last and held:
+                    yield finish(last, held)
+                    held = []
+                last = key
+                held.append((node, root, np.frombuffer(raw, np.uint64)))
+        if held:
+            yield finish(last, held)
+
+    rows = rest.join(sets, "node").select("key", "node", "root", "hashes")
+    return rows.repartition(shuffle_partitions(rest.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``doc_id, node, component_id``: the smallest id reachable over pairs similar by at least ``least``."""
+    slim = only(docs, doc_id=id_col, text=text_col)
+    marks = cut(signatures(slim, size))
+    nodes = cut(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    banded = nodes.where("first_id is not null").select("node", "n", F.explode("bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_top"), F.min(F.struct("node", "n"))["n"].alias("hub_n")).where("hub < _top").drop("_top")
+    busy = cut(banded.join(hubs, "key"))
+    ids = nodes.join(busy.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("_id"))
+    sets = stage(shingle_sets(slim.join(ids, slim.doc_id == ids["_id"], "left_semi"), size).dropDuplicates(["node"]), "shingle-sets")
+
+    def close(a: str, b: str):
+        """What two sets' sizes allow."""
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(least) - F.lit(1e-9)
+
+    def rooted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Roots, and the rows of keys that hold several components."""
+        roots = cut(components(edges))
+        own = busy.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = own.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_top")).where("_low < _top").select("key", "_low")
+        return roots, cut(own.join(split, "key"))
+
+    fit = busy.where("hub <> node").where(close("n", "hub_n"))
+    edges = cut(similar(fit.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, least))
+    roots, rest = rooted(edges)
+    if not rest.isEmpty():
+        of_hub = rest.where("node = hub").select("key", F.col("root").alias("hub_root"))
+        pairs = rest.where("hub <> node").where(close("n", "hub_n")).join(of_hub, "key").where("root <> hub_root")
+        edges = cut(edges.unionByName(similar(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least)))
+        roots, rest = rooted(edges)
+    if not rest.isEmpty():
+        edges = cut(edges.unionByName(linked_within_keys(rest, sets, least)))
+        roots = cut(components(edges))
+    labelled = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    ids = labelled.join(lowest, "root").select(F.col("node").alias("_node"), "component_id")
+    return marks.join(ids, marks.node == ids["_node"]).select("doc_id", "node", "component_id")
