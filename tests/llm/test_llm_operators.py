@@ -444,7 +444,7 @@ def test_op1_finds_copies_and_paraphrases(spark, sf):
     item = max((r for r in bench.collect()), key=lambda r: len(r.text))
     found = decontaminate.leaks(leak_rows(spark, item.text), bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, item.item_id) for d in (1, 3, 4)}
-    blocks = decontaminate.leaks(leak_rows(spark, item.text), bench, block_items=9)
+    blocks = decontaminate.leaks(leak_rows(spark, item.text), bench, pass_items=9, space_passages=5)
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == {(d, item.item_id) for d in (1, 3, 4)}
 
 
