@@ -69,16 +69,20 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(chunks: DataFrame, *, text: str = "content", key: str = "id") -> DataFrame:
-    """The inverted index: ``term, key, tf, dl``. Write it bucketed by ``term`` to reuse its partitioning."""
+def postings(chunks: DataFrame, *, text: str = "content", key: str = "id", terms: list[str] | None = None) -> DataFrame:
+    """The inverted index: ``term, key, tf, dl``. Write it bucketed by ``term`` to reuse its partitioning.
+
+    ``terms``: only these, picked before the words become rows, for one query without an index.
+    """
     t = chunks.select(F.col(key).alias("key"), tokens_of(F.col(text)).alias("_t"))
-    return t.select("key", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("key", "dl", "term").agg(F.count("*").alias("tf")).select("term", "key", "tf", "dl")
+    wanted = F.col("_t") if terms is None else F.filter("_t", lambda x: x.isin([w.lower() for w in terms]))
+    return t.select("key", F.size("_t").alias("dl"), F.explode(wanted).alias("term")).groupBy("key", "dl", "term").agg(F.count("*").alias("tf")).select("term", "key", "tf", "dl")
 
 
 def bm25(index: DataFrame, totals: DataFrame, terms: list[str], k: int | None = None) -> DataFrame:
     """``key, score`` over an index; ``totals``: one row ``n`` (texts), ``avgdl``. Any term may match; ties by key."""
     hit = index.where(F.col("term").isin([t.lower() for t in terms]))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hit.join(F.broadcast(df), "term").join(F.broadcast(totals), F.lit(True)).groupBy("key").agg(F.round(F.sum(part), 9).alias("score"))

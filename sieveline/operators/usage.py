@@ -84,27 +84,37 @@ def fill_duplicates(deps: DataFrame, order: Column) -> DataFrame:
     return deps.where("name <> '' and normalized_name <> ''").groupBy("ecosystem", "normalized_name", "scope").agg(*[F.min_by(c, order).alias(c) for c in keep], later("constraint_text").alias("constraint_text"), later("resolved_version").alias("resolved_version"))
 
 
+#: Leading hexadecimal digits by which the lists of a fingerprint are formed, level by level.
+FINGERPRINT_LEVELS = (5, 3, 1, 0)
+
+
 def fingerprint(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """SHA-256 over the sorted hashes of rows (fields joined by NUL).
 
-    Hashes go in two levels (256 sorted sub-lists), so no task sorts all rows of a group.
+    Hashes go in levels: rows that agree in five leading digits form a list, then
+    at most 256 lists one of the next level, so no task sorts all rows of a group
+    (at 10**11 rows a list holds about 10**5).
     """
-    row = F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     keys = by or []
-    parts = rows.select(*keys, row.alias("_h")).groupBy(*keys, F.substring("_h", 1, 2).alias("_p")).agg(F.sha2(F.concat_ws("\0", F.sort_array(F.collect_list("_h"))), 256).alias("_h"))
-    return parts.groupBy(*keys).agg(F.sha2(F.concat_ws("\0", F.sort_array(F.collect_list(F.concat("_p", "_h")))), 256).alias("fingerprint"))
-
+    row = F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    parts = rows.select(*keys, row.alias("_p"), row.alias("_h"))
+    for digits in FINGERPRINT_LEVELS:
+        listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), "\n")
+        parts = parts.groupBy(*keys, F.substring("_p", 1, digits).alias("_q")).agg(F.sha2(listed, 256).alias("_h")).withColumnRenamed("_q", "_p")
+    return parts.select(*keys, F.col("_h").alias("fingerprint"))
 
-def shared_dependencies(deps: DataFrame, project_id: int | None = None) -> DataFrame:
-    """Pairs of projects of a tenant that share a dependency, with its name.
 
-    Grouped by dependency first: a name that very many projects use expands only
-    for the asked project.
-    """
+def shared_dependencies(deps: DataFrame, project_id: int) -> DataFrame:
+    """The other projects of a project's tenant that share a dependency, with its name: at most one row a dependency and project."""
     d = deps.select("tenant_id", "ecosystem", "normalized_name", "project_id").distinct()
-    left = d if project_id is None else d.where(F.col("project_id") == project_id)
     other = d.withColumnRenamed("project_id", "other_id")
-    return left.join(other, ["tenant_id", "ecosystem", "normalized_name"]).where("project_id <> other_id")
+    return d.where(F.col("project_id") == project_id).join(other, ["tenant_id", "ecosystem", "normalized_name"]).where("project_id <> other_id")
+
+
+def dependency_use(deps: DataFrame) -> DataFrame:
+    """J6/E10 over all projects: dependencies that several projects of a tenant share, with their number and the least one; never pairs."""
+    d = deps.select("tenant_id", "ecosystem", "normalized_name", "project_id").distinct()
+    return d.groupBy("tenant_id", "ecosystem", "normalized_name").agg(F.count("*").alias("projects"), F.min("project_id").alias("first_project")).where("projects > 1")
 
 
 def file_diff(client: DataFrame, index: DataFrame) -> DataFrame:

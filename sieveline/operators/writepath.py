@@ -61,11 +61,18 @@ def pool_member(key: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
 
 
+def split_by_cache(inputs: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """``key, text`` with ``input_hash`` -> those whose vector a model's cache holds (``embedding``), and the others."""
+    h = inputs.withColumn("input_hash", F.sha2("text", 256))
+    held = cache.where(F.col("model") == model).select("input_hash", "embedding")
+    return h.join(held, "input_hash"), h.join(held, "input_hash", "left_anti")
+
+
 def embed_missing(inputs: DataFrame, cache: DataFrame, model: str, fn=hashed_embedding) -> tuple[DataFrame, DataFrame]:
-    """``key, text`` -> vectors by input hash from the cache, the others computed once each; also the new cache rows."""
+    """M5: ``key, text`` -> vectors by input hash from the cache, the others computed once each; also the new cache rows."""
     h = inputs.withColumn("input_hash", F.sha2("text", 256))
     held = cache.where(F.col("model") == model).select("input_hash", "embedding")
-    new = h.join(held, "input_hash", "left_anti").groupBy("input_hash").agg(F.first("text").alias("text")).select("input_hash", embed(F.col("text"), fn).alias("embedding"))
+    new = split_by_cache(inputs, cache, model)[1].groupBy("input_hash").agg(F.first("text").alias("text")).select("input_hash", embed(F.col("text"), fn).alias("embedding"))
     return h.join(held.unionByName(new), "input_hash", "left"), new.withColumn("model", F.lit(model))
 
 

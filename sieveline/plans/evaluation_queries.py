@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as v
 from .registry import query
 
-_RUN = "run AS (SELECT l_suppkey AS qid, l_partkey % 40 AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 30), qrels AS (SELECT s_suppkey AS qid, f AS file, 1 + (s_suppkey + f) % 3 AS grade FROM supplier, (SELECT unnest(range(6)) AS f))"
+_RUN = "run AS (SELECT l_suppkey AS qid, l_partkey % 40 AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS rank FROM lineitem QUALIFY rank <= 30), qrels AS (SELECT s_suppkey AS qid, f AS file, 1 + (s_suppkey + f) % 3 AS grade FROM supplier, (SELECT unnest(range(6)) AS f))"
 _METRICS = """first AS (SELECT *, row_number() OVER (PARTITION BY qid, file ORDER BY rank) AS k FROM run), j AS (SELECT f.qid, f.rank, CASE WHEN k = 1 THEN coalesce(grade, 0) ELSE 0 END AS grade FROM first f LEFT JOIN qrels q ON q.qid = f.qid AND q.file = f.file),
  n AS (SELECT qid, count(*) AS n, least(10, count(*)) AS m FROM run GROUP BY 1), got AS (SELECT qid, any_value(n) AS n, any_value(m) AS m, sum(CASE WHEN rank <= m THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN grade > 0 THEN rank END) AS best, count(*) FILTER (WHERE grade > 0 AND rank <= m) AS hits FROM j JOIN n USING (qid) GROUP BY 1),
  ideal AS (SELECT q.qid, sum(CASE WHEN i <= least(10, coalesce(n, 0)) THEN (pow(2, grade) - 1) / log2(i + 1) ELSE 0 END) AS idcg, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, file) AS i FROM qrels) q LEFT JOIN n USING (qid) GROUP BY 1),
@@ -17,7 +17,7 @@ _METRICS = """first AS (SELECT *, row_number() OVER (PARTITION BY qid, file ORDE
 def _tables(spark, t):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     run = t("lineitem").select(F.col("l_suppkey").alias("qid"), (F.col("l_partkey") % 40).alias("file"), F.row_number().over(w).alias("rank")).where("rank <= 30")
     qrels = t("supplier").select(F.col("s_suppkey").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("file")).withColumn("grade", 1 + (F.col("qid") + F.col("file")) % 3)
     return run, qrels.withColumn("file", F.col("file").cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import codeintel, joins, usage, writepath
+from ..operators import codeintel, graph, joins, usage, writepath
 from ..sources import files as sources
 from .registry import query
 from .tables import DEPS_SQL, FILES_SQL, deps, files
@@ -28,10 +28,14 @@ def _(spark, t):
     return writepath.with_vectors(chunks, t("embeddings").select(F.col("vec_id").cast("string").alias("emb_hash"), "embedding")).select("doc_id", F.col("embedding").isNotNull().alias("has_vector"))
 
 
-@query("J4_cache_lookup", "SELECT sum(CASE WHEN e.vec_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS hits, sum(CASE WHEN e.vec_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS misses FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+@query("J4_cache_lookup", """WITH c AS (SELECT DISTINCT sha256(text) AS input_hash FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))
+ SELECT doc_id AS key, coalesce(sha256(text) IN (SELECT input_hash FROM c WHERE input_hash IS NOT NULL), false) AS hit FROM documents""")
 def _(spark, t):
-    d, e = t("documents").select(F.col("doc_id").alias("k")), t("embeddings").select(F.col("vec_id").alias("k"))
-    return d.join(e, "k", "left_semi").agg(F.count("*").alias("hits")).join(d.join(e, "k", "left_anti").agg(F.count("*").alias("misses")), F.lit(True))
+    d = t("documents").select(F.col("doc_id").alias("key"), "text")
+    held = t("embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    cache = d.join(held, "key").groupBy(F.sha2("text", 256).alias("input_hash")).agg(F.any_value("embedding").alias("embedding")).withColumn("model", F.lit("m"))
+    hits, misses = writepath.split_by_cache(d, cache, "m")
+    return hits.select("key", F.lit(True).alias("hit")).unionByName(misses.select("key", F.lit(False).alias("hit")))
 
 
 @query("J6_shared_dependencies", f"WITH {DEPS_SQL} SELECT DISTINCT a.project_id, b.project_id AS other_id, a.normalized_name FROM deps a JOIN deps b USING (tenant_id, ecosystem, normalized_name) WHERE a.project_id <> b.project_id AND a.project_id = 1")
@@ -39,11 +43,16 @@ def _(spark, t):
     return usage.shared_dependencies(deps(t), 1).select("project_id", "other_id", "normalized_name")
 
 
+@query("E10_dependency_use", f"WITH {DEPS_SQL} SELECT normalized_name, count(*) AS projects, min(project_id) AS first_project FROM deps GROUP BY tenant_id, ecosystem, normalized_name HAVING count(*) > 1")
+def _(spark, t):
+    return usage.dependency_use(deps(t)).select("normalized_name", "projects", "first_project")
+
+
 @query("J7_runtime_projects", "SELECT o_orderkey AS edge, s.n_name AS source_name, coalesce(r.r_name, 'external') AS target_name FROM orders JOIN nation s ON s.n_nationkey = o_orderkey % 25 LEFT JOIN region r ON r.r_regionkey = o_orderkey % 9")
 def _(spark, t):
-    e = t("orders").select(F.col("o_orderkey").alias("edge"), (F.col("o_orderkey") % 25).alias("s"), (F.col("o_orderkey") % 9).alias("t"))
-    j = e.join(t("nation"), F.col("s") == F.col("n_nationkey")).join(t("region"), F.col("t") == F.col("r_regionkey"), "left")
-    return j.select("edge", F.col("n_name").alias("source_name"), F.coalesce("r_name", F.lit("external")).alias("target_name"))
+    e = t("orders").select(F.col("o_orderkey").alias("edge"), (F.col("o_orderkey") % 25).alias("source_project_id"), (100 + F.col("o_orderkey") % 9).alias("target_project_id"), F.lit("external").alias("target_name"), F.col("o_orderdate").alias("last_seen"))
+    projects = t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).unionByName(t("region").select((100 + F.col("r_regionkey")).alias("id"), F.col("r_name").alias("name")))
+    return graph.runtime_graph(e, projects).select("edge", "source_name", "target_name")
 
 
 @query("J8_prune_files", "SELECT p_partkey AS id FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators.usage import merge_runtime_edges
 from ..sources.files import eligible, is_code_file, should_index
 from .registry import query
 from .tables import FILES_SQL, files
@@ -114,9 +115,15 @@ def _(spark, t):
     return t("documents").select("doc_id", parsed.alias("p")).where("p is not null").select("doc_id", "p.path", F.col("p.line").cast("long").alias("line"))
 
 
-@query("F17_ranges", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 100) AS low, greatest(l_quantity, l_tax * 100) AS high FROM lineitem")
+@query("F17_ranges", """SELECT l_partkey AS part, CAST(sum(l_orderkey % 9 - 1) AS BIGINT) AS request_count, min(least(l_quantity, l_tax * 100)) AS first_seen, max(greatest(l_quantity, l_tax * 100)) AS last_seen
+ FROM lineitem WHERE l_orderkey % 9 >= 1 GROUP BY 1""")
 def _(spark, t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.least(F.col("l_quantity"), F.col("l_tax") * 100).alias("low"), F.greatest(F.col("l_quantity"), F.col("l_tax") * 100).alias("high"))
+    calls = t("lineitem").select(
+        F.col("l_partkey").alias("part"), (F.col("l_orderkey") % 9 - 1).cast("long").alias("request_count"), F.lit(0).cast("long").alias("error_count"), F.lit(1.0).alias("p95_latency_ms"),
+        F.col("l_quantity").cast("double").alias("first_seen"), (F.col("l_tax") * 100).cast("double").alias("last_seen"), F.monotonically_increasing_id().alias("seq"),
+    )
+    merged = merge_runtime_edges(calls.drop("seq").limit(0), calls, ["part"])
+    return merged.select("part", "request_count", "first_seen", "last_seen")
 
 
 @query("F18_rerank_terms", "SELECT item_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2))) AS n FROM benchmark")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, norm
+from ..operators import graph as g
 from ..operators import ranking as r
 from .registry import query
+from .tables import EDGES_SQL, edges
 
 _COS = "round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))), 9)"
 _VEC = _COS.format(a="e.embedding", b="q.embedding")
@@ -63,7 +65,8 @@ _TERMS = "['with','pour','und']"
 def _(spark, t):
     d = t("documents")
     totals = d.agg(F.count("*").alias("n"), F.avg(F.size(r.tokens_of(F.col("text")))).alias("avgdl"))
-    scored = r.bm25(r.postings(d, text="text", key="doc_id"), totals, ["with", "pour", "und"]).withColumn("score", F.round("score", 6))
+    terms = ["with", "pour", "und"]
+    scored = r.bm25(r.postings(d, text="text", key="doc_id", terms=terms), totals, terms).withColumn("score", F.round("score", 6))
     return scored.orderBy(F.col("score").desc(), "key").limit(40)
 
 
@@ -72,11 +75,11 @@ def _(spark, t):
     return r.with_rank(t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), F.col("l_extendedprice").desc(), F.col("l_linenumber"), partition=["l_orderkey"]).drop("l_extendedprice")
 
 
-_RES = "res AS (SELECT l_suppkey % 25 AS project, l_partkey % 50 AS path, l_linenumber AS start_line, l_linenumber AS end_line, l_extendedprice AS score, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS source_rank FROM lineitem WHERE l_quantity > 40)"
+_RES = "res AS (SELECT l_suppkey % 25 AS project, l_partkey % 50 AS path, l_linenumber AS start_line, l_linenumber AS end_line, l_extendedprice AS score, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS source_rank FROM lineitem)"
 
 
 def results(t):
-    li = t("lineitem").where("l_quantity > 40")
+    li = t("lineitem")
     return li.select((F.col("l_suppkey") % 25).alias("project"), (F.col("l_partkey") % 50).alias("path"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.col("l_extendedprice").alias("score"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("source_rank"))
 
 
@@ -104,15 +107,19 @@ def _(spark, t):
     return r.lexical_rerank(legs(t)[1].join(d, "path"), "with pour und").select("path", "score", "blend", "rank")
 
 
-@query("W15_hubs", "SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS out_degree FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 16")
+@query("W15_hubs", f"WITH {EDGES_SQL} SELECT source_file AS node, count(*) AS out_degree FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 16")
 def _(spark, t):
-    e = t("lineitem").select("l_suppkey", "l_partkey").distinct()
-    return e.groupBy(F.col("l_suppkey").alias("node")).agg(F.count("*").alias("out_degree")).orderBy(F.col("out_degree").desc(), "node").limit(16)
+    return g.hubs(edges(t)).select("node", "out_degree")
 
 
-@query("W17_chunks_by_prefix", "SELECT doc_id, 0.5 AS score FROM documents WHERE starts_with(source, 'src1') ORDER BY doc_id LIMIT 3")
+@query("W17_chunks_by_prefix", """WITH c AS (SELECT 'docs/' || coalesce(source, 'none') || '/' || doc_id || '.md' AS file_path, doc_id AS chunk_index FROM documents)
+ SELECT 'docs/src1/' AS path, file_path, chunk_index FROM (SELECT * FROM c WHERE starts_with(file_path, 'docs/src1/') ORDER BY chunk_index, file_path LIMIT 3)
+ UNION ALL SELECT 'docs/', file_path, chunk_index FROM (SELECT * FROM c ORDER BY chunk_index, file_path LIMIT 3) UNION ALL SELECT 'docs/none.md', 'docs/none.md', 0""")
 def _(spark, t):
-    return t("documents").where(F.col("source").startswith("src1")).orderBy("doc_id").limit(3).select("doc_id", F.lit(0.5).alias("score"))
+    file = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    chunks = t("documents").select(file.alias("path"), F.col("doc_id").alias("chunk_index"), F.lit("").alias("content"))
+    paths = spark.createDataFrame([("docs/src1/", 0.5, 1), ("docs/", 0.5, 1), ("docs/none.md", 0.5, 1)], "path string, score double, depth int")
+    return g.expanded_chunks(paths, chunks).select("path", "file_path", "chunk_index")
 
 
 @query("W18_pack_context", f"""WITH {_LEGS}, b AS (SELECT r2 AS rank, strlen(text) AS n FROM w JOIN documents ON doc_id = path), s AS (SELECT rank, n, sum(n) OVER (ORDER BY rank) AS total FROM b)

@@ -25,12 +25,12 @@ def files(t) -> DataFrame:
     return t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
 
 
-EDGES_SQL = "edges AS (SELECT DISTINCT 'pkg' || CAST(l_suppkey % 40 AS VARCHAR) || '/f' || CAST(l_suppkey AS VARCHAR) || '.go' AS source_file, 'pkg' || CAST(l_partkey % 40 AS VARCHAR) || '/' AS target_file FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 7 = 0)"
+EDGES_SQL = "edges AS (SELECT DISTINCT 'pkg' || CAST(l_suppkey % 40 AS VARCHAR) || '/f' || CAST(l_suppkey AS VARCHAR) || '.go' AS source_file, 'pkg' || CAST(l_partkey % 40 AS VARCHAR) || '/' AS target_file FROM lineitem)"
 
 
 def edges(t) -> DataFrame:
-    """Import edges of a few hundred files in forty directories."""
-    li = t("lineitem").where("l_linenumber = 1 AND l_partkey % 7 = 0")
+    """Import edges: each supplier is a file, each part's directory is imported by its suppliers."""
+    li = t("lineitem")
     source = F.concat(F.lit("pkg"), (F.col("l_suppkey") % 40).cast("string"), F.lit("/f"), F.col("l_suppkey").cast("string"), F.lit(".go"))
     return li.select(source.alias("source_file"), F.concat(F.lit("pkg"), (F.col("l_partkey") % 40).cast("string"), F.lit("/")).alias("target_file")).distinct()
 

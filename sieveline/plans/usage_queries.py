@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import usage as ops
 from ..streaming import continuous
 from .registry import query
-from .tables import USAGE_SQL, files, usage
+from .tables import FILES_SQL, USAGE_SQL, files, usage
 
 
 @query("A1_counts", "SELECT (SELECT count(*) FROM documents) AS n_files, (SELECT count(*) FROM embeddings) AS n_chunks")
@@ -84,7 +84,11 @@ def _(spark, t):
     return ops.fill_duplicates(d, F.col("seq")).select("ecosystem", "name", "scope", "seq", "constraint_text", "resolved_version")
 
 
-@query("A16_corpus_fingerprint")
+_LEVEL = "SELECT project, left(p, {d}) AS p, sha256(string_agg(h, chr(10) ORDER BY p, h)) AS h FROM {src} GROUP BY project, left(p, {d})"
+
+
+@query("A16_corpus_fingerprint", f"""WITH {FILES_SQL}, z AS (SELECT project, sha256(coalesce(path, '') || chr(0) || coalesce(content, '')) AS p FROM files), z0 AS (SELECT project, p, p AS h FROM z),
+ a AS ({_LEVEL.format(d=5, src='z0')}), b AS ({_LEVEL.format(d=3, src='a')}), c AS ({_LEVEL.format(d=1, src='b')}), d AS ({_LEVEL.format(d=0, src='c')}) SELECT project, h AS fingerprint FROM d""")
 def _(spark, t):
     return ops.fingerprint(files(t), ["path", "content"], ["project"])
 

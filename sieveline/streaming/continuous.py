@@ -39,16 +39,14 @@ def usage_rollup(events: DataFrame, width: str = "1 hour", watermark: str = "10
 
 
 def merge_edges_into(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Each batch of observed calls merges into the newest version below ``path``."""
+    """Each batch of observed calls merges into the newest version below ``path``.
+
+    Only the first batch begins with nothing; a later one whose predecessor is missing fails.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        except Exception as e:  # noqa: BLE001  only a missing first version is expected
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
+        old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
         new = batch.withColumn("seq", F.monotonically_increasing_id())
         base = old if old is not None else new.drop("seq").limit(0)
         merge_runtime_edges(base.select(*new.drop("seq").columns), new, keys).write.mode("overwrite").parquet(f"{path}/v={number}")
