@@ -7,7 +7,8 @@ document is kept if both of its histograms lie within a Jensen-Shannon distance
 of some one language's. Languages without a word list have no reference: a
 document labelled with one passes this test, and so does one below the guards.
 
-Nulls: a null text has no words (base rules fail). A null ``lang`` helps no
+Texts of any length are counted whole. Extra columns are left behind, or kept in
+a struct of their own. Nulls: a null text has no words (base rules fail). A null ``lang`` helps no
 reference and is compared with all of them. With no reference at all (an empty
 table, or no document long enough) only the base rules decide. Repeated rows
 count once each.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stage
 
 #: Common words of the reference languages; a parameter of the operator.
 COMMON_WORDS = {
@@ -66,7 +67,7 @@ def repeated_window_words(hashes: str) -> Column:
     return counted.cast("long")
 
 
-def base_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+def base_counts(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and ``_words``, ``_dense``."""
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = docs.withColumn("_t", t)
@@ -84,7 +85,7 @@ def base_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Da
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_window_words("_hashes"),
     })
-    return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_h", "_hashes", "_lines")
+    return df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_h", "_hashes", "_lines")
 
 
 def histograms(df: DataFrame) -> DataFrame:
@@ -133,15 +134,19 @@ def js_distance(counts: Column, total: Column, reference: list[float]) -> Column
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, whole_rows: bool = False) -> DataFrame:
     """Per document: ``doc_id``, the base counts, ``base_failed, char_distance, word_distance, kept``.
 
-    Distances are null where a guard applies or there is no reference.
+    Distances are null where a guard applies or there is no reference. ``min_words``:
+    shorter texts fail the base rules. ``whole_rows`` adds ``row``, a struct of
+    the input's columns, so that a filter needs no join.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    measured = histograms(base_counts(slim))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if whole_rows else []
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), *row)
+    measured = histograms(base_counts(slim, min_words=min_words))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    features = cut(measured.select("doc_id", "lang", *counts, "_chars", "_common"))
+    narrow = measured.select("doc_id", "lang", *counts, "_chars", "_common", *["row"] * whole_rows)
+    features = stage(narrow, "features") if whole_rows else cut(narrow)
     return verdicts(features, references(features, list(COMMON_WORDS)))
 
 
@@ -165,5 +170,5 @@ def verdicts(features: DataFrame, refs: dict[str, tuple[list[float], list[float]
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         low("c").alias("char_distance"), low("w").alias("word_distance"),
-        (~F.col("base_failed") & (foreign | ~long_enough | near if refs else F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & (foreign | ~long_enough | near if refs else F.lit(True))).alias("kept"), *[c for c in features.columns if c == "row"],
     )

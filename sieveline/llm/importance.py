@@ -2,9 +2,10 @@
 
 Two bag-of-n-grams models over hashed words and pairs of words: one of target
 text (labelled good and not toxic), one of all the raw text. A document's weight
-is the mean log ratio of the two over its n-grams, times ``SPAN``: the log
-importance weight of a document of ``SPAN`` n-grams, so that long and short
-documents compare. Gumbel noise turns the k largest into a sample without
+is the sum of the log ratios of the two over its n-grams, by the root of their
+number, so that long and short documents compare; ratios of buckets whose
+counts don't differ by more than ``SIGNIFICANT`` standard deviations are 0, so a
+few rare n-grams that the target hardly holds aren't lost among many usual ones. Gumbel noise turns the k largest into a sample without
 replacement that is proportional to the weights. ``k`` is the number of documents
 that weigh no less than all but ``SPARE`` of target documents do, counted on the
 half of the labelled target documents that the model isn't fitted on.
@@ -12,7 +13,8 @@ half of the labelled target documents that the model isn't fitted on.
 The target model is fitted on at most ``MAX_TARGET`` labelled documents, those
 of least hash; the raw counts, weights and the selection cover every document.
 
-Nulls: a null text has no n-grams and weight 0, as an empty one has. Null ids
+Texts of any length are read whole; extra columns are left behind, or kept in a
+struct of their own. Nulls: a null text has no n-grams and weight 0, as an empty one has. Null ids
 have no label. Noise depends on id and text, so repeated rows share their fate,
 and rows tied at the threshold are all kept. Without any label, or on an empty
 table, everything is kept.
@@ -28,14 +30,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import VECTOR_ROWS, cut, only, ship, sum_vectors, vector_rows
+from .common import VECTOR_ROWS, cut, ship, stage, sum_vectors, vector_rows
 
 BUCKETS = 1 << 16
 MAX_TARGET = 20_000
+#: What weights are multiplied by beside the Gumbel noise: the greater, the nearer the sample is to the best.
 SPAN = 100.0
-#: Pseudo-counts of each bucket in both models, on the scale of the target's counts: few observations say little.
-PSEUDO = 10.0
+#: Pseudo-counts of each bucket in both models, on the scale of the target's counts.
+PSEUDO = 1.0
+#: Standard deviations by which a bucket's counts must differ to say anything.
+SIGNIFICANT = 4.0
 #: Share of the target's documents whose weights are set aside as outliers when k is counted.
 SPARE = 0.002
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -94,18 +100,19 @@ def models(docs: DataFrame, ids: list[int], buckets: int = BUCKETS) -> tuple[np.
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability per bucket; 0 where neither has been seen."""
+    """Log of target over raw probability per bucket; 0 where they don't differ significantly."""
     if not target.sum() or not raw.sum():
         return np.zeros(len(raw))
     expected = raw * (target.sum() / raw.sum())
-    return np.log((target + PSEUDO) / (expected + PSEUDO))
+    differs = np.abs(target - expected) > SIGNIFICANT * np.sqrt(expected + 1)
+    return np.where(differs, np.log((target + PSEUDO) / (expected + PSEUDO)), 0.0)
 
 
 def weights(docs: DataFrame, ratios: np.ndarray, ids: list[int]) -> DataFrame:
-    """``doc_id, n_grams, weight, crc, unseen`` for every document."""
+    """``doc_id, n_grams, weight, crc, unseen`` for every document, and its ``row`` if there is one."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((ratios, frozenset(ids)))  # one number a bucket, at most MAX_TARGET ids
-    schema = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("weight", pa.float64()), ("crc", pa.int64()), ("unseen", pa.bool_())])
+    rows = [f for f in docs.schema.fields if f.name == "row"]
 
     def run(batches):
         table, unseen = shared.value
@@ -115,11 +122,13 @@ def weights(docs: DataFrame, ratios: np.ndarray, ids: list[int]) -> DataFrame:
                 text = text.as_py() or ""
                 grams = ngrams(text, len(table))
                 n.append(len(grams))
-                w.append(float(table[grams].mean()) if len(grams) else 0.0)
+                w.append(float(table[grams].sum() / len(grams) ** 0.5) if len(grams) else 0.0)
                 crc.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(crc, pa.int64()), pa.array([i in unseen for i in batch.column(0).to_pylist()], pa.bool_())], schema=schema)
+            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(crc, pa.int64()), pa.array([i in unseen for i in batch.column(0).to_pylist()], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=["doc_id", "n_grams", "weight", "crc", "unseen", *batch.schema.names[2:]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, weight double, crc long, unseen boolean")
+    schema = StructType([*StructType.fromDDL("doc_id long, n_grams long, weight double, crc long, unseen boolean").fields, *rows])
+    return docs.select("doc_id", "text", *[f.name for f in rows]).mapInArrow(run, schema)
 
 
 def kth_largest(scores: DataFrame, column: str, k: int) -> float:
@@ -141,20 +150,23 @@ def kth_largest(scores: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 8, max_target: int = MAX_TARGET) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 8, max_target: int = MAX_TARGET, whole_rows: bool = False) -> DataFrame:
     """``doc_id, n_grams, weight, score, kept`` for every row of ``docs``.
 
-    ``labels``: ``doc_id, quality, toxic``.
+    ``labels``: ``doc_id, quality, toxic``. ``whole_rows`` adds ``row``, a struct
+    of the input's columns, so that a filter needs no join.
     """
-    slim = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if whole_rows else []
+    slim = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text"), *row)
     drawn = target_ids(slim, labels, max_target)
     ids, unseen = drawn[::2], drawn[1::2]
     ratios = log_ratios(*models(slim, ids)) if ids else np.zeros(BUCKETS)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "crc"), 11).cast("double") + 0.5) / F.lit(2.0**53)
-    scores = cut(weights(slim, ratios, unseen).withColumn("score", F.col("weight") * SPAN - F.log(-F.log(u))))
+    weighed = weights(slim, ratios, unseen).withColumn("score", F.col("weight") * SPAN - F.log(-F.log(u)))
+    scores = stage(weighed, "scores") if whole_rows else cut(weighed)
     least = -math.inf
     if unseen:
         own = scores.where("unseen")
         usual = kth_largest(own, "weight", math.ceil((1 - SPARE) * own.count()))
         least = kth_largest(scores, "score", scores.where(F.col("weight") >= F.lit(usual)).count())
-    return scores.select("doc_id", "n_grams", "weight", "score", (F.col("score") >= F.lit(least)).alias("kept"))
+    return scores.select("doc_id", "n_grams", "weight", "score", (F.col("score") >= F.lit(least)).alias("kept"), *["row"] * whole_rows)

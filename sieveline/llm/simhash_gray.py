@@ -9,8 +9,8 @@ descent from pair to pair of nodes adds up the differences over the bits newly
 fixed on the way down. A pair of groups whose differences exceed the limit is
 pruned whole; one whose differences can't exceed it is accepted whole.
 
-Every fingerprint goes to each node whose fixed leading bits differ from its own
-in at most the limit, so no link is lost, whatever the number of nodes. A node's
+Of each two nodes whose fixed leading bits differ in at most the limit, one sees
+the other's fingerprints as guests, so no link is lost, whatever the number of nodes. A node's
 task keeps only a spanning forest of the links it finds (a union-find over its
 own fingerprints), so a dense group yields a number of edges below its number of
 fingerprints. Components of the forests' edges come from alternating star
@@ -18,7 +18,9 @@ contractions, each round written to the shared checkpoint folder.
 
 Nulls: a null text has no words and fingerprint zero, as an empty one has; such
 rows link like any others. Null ids stay, and a component of null ids only has
-a null id. Repeated rows share their fingerprint. An empty table gives no rows.
+a null id. Repeated rows share their fingerprint. Texts of any length are read
+whole, 2**16 shingles at a time. Extra columns are left behind. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -54,10 +56,19 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     stops = (ends[size - 1 :] - 1).tolist()
     for at in range(0, total, 1 << 16):
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        votes += bit_votes(hashes.reshape(-1, 1))
     return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
 
 
+def bit_votes(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of unsigned 64-bit words have each bit set; sums of up to 255 rows fit a byte."""
+    votes = np.zeros(hashes.shape[1] * 64, np.int64)
+    for at in range(0, len(hashes), 255):
+        block = np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8)
+        votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return votes
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp``: the fingerprint's bits as a signed long."""
     ship(docs.sparkSession)
@@ -82,8 +93,9 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 class Tree:
     """Levels of groups over fingerprints in Gray order; level 0 is the fingerprints."""
 
-    def __init__(self, fps: np.ndarray):
+    def __init__(self, fps: np.ndarray, extra: np.ndarray | None = None):
         self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.extra = None if extra is None else extra[self.order]
         self.masks, self.patterns = [np.full(len(fps), _ALL)], [fps[self.order]]
         while len(self.masks[-1]) > 1:
             mask, pattern = self.masks[-1], self.patterns[-1]
@@ -128,23 +140,25 @@ class Forest:
             self.parent[high[first]] = low[first]
 
 
-def link(own: np.ndarray, guests: np.ndarray, limit: int = MAX_BITS, chunk: int = 1 << 15, within: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def link(own: np.ndarray, guests: np.ndarray, limit: int = MAX_BITS, chunk: int = 1 << 15, within: bool = True, extra: tuple[np.ndarray, np.ndarray] | None = None, extra_limit: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``own`` (unless not asked for) and between ``own`` and ``guests``.
 
-    Edges are numbers into ``concatenate([own, guests])``.
+    Edges are numbers into ``concatenate([own, guests])``. ``extra``: further bits
+    of either side, in which linked ones may differ by ``extra_limit`` at most.
     """
     forest = Forest(len(own) + len(guests))
-    home = Tree(own)
+    more = extra or (None, None)
+    home = Tree(own, more[0])
     if len(own) and within:
-        _descend(home, home, 0, limit, chunk, forest, same=True)
+        _descend(home, home, 0, limit, chunk, forest, True, extra_limit)
     if len(own) and len(guests):
-        _descend(home, Tree(guests), len(own), limit, chunk, forest, same=False)
+        _descend(home, Tree(guests, more[1]), len(own), limit, chunk, forest, False, extra_limit)
     a = np.concatenate([x for x, _ in forest.edges]) if forest.edges else np.zeros(0, np.int64)
     b = np.concatenate([y for _, y in forest.edges]) if forest.edges else np.zeros(0, np.int64)
     return a, b
 
 
-def _descend(home: Tree, other: Tree, shift: int, limit: int, chunk: int, forest: Forest, same: bool) -> None:
+def _descend(home: Tree, other: Tree, shift: int, limit: int, chunk: int, forest: Forest, same: bool, extra_limit: int = 64) -> None:
     zero = np.zeros(1, np.int32)
     top = (len(home), len(other))
     common = home.masks[top[0]] & other.masks[top[1]]
@@ -158,12 +172,15 @@ def _descend(home: Tree, other: Tree, shift: int, limit: int, chunk: int, forest
         # whole groups within the limit: everything below is linked, so one chain does
         near = diff + (64 - np.bitwise_count(fixed)) <= limit
         if near.any():
-            for x, y in zip(u[near].tolist(), v[near].tolist()):
+            for i in np.flatnonzero(near).tolist():
+                x, y = int(u[i]), int(v[i])
                 every = np.concatenate([home.order[x * FAN**lu : (x + 1) * FAN**lu], other.order[y * FAN**lv : (y + 1) * FAN**lv] + shift])
-                forest.add(every[:-1], every[1:])
+                fit = _chained(home, other, lu, lv, x, y, extra_limit)
+                forest.add(every[:-1][fit], every[1:][fit])
+                near[i] = fit.all()  # otherwise what the chain left apart is looked at further down
             u, v, diff, fixed = (x[~near] for x in (u, v, diff, fixed))
         if lu <= 1 and lv <= 1:
-            _leaves(home, other, shift, limit, forest, lu, lv, u, v)
+            _leaves(home, other, shift, limit, forest, lu, lv, u, v, extra_limit)
             continue
         if lu >= lv:
             u, v, diff, fixed = _fan(u, len(home.masks[lu - 1]), v, diff, fixed)
@@ -179,7 +196,16 @@ def _descend(home: Tree, other: Tree, shift: int, limit: int, chunk: int, forest
         stack.append((lu, lv, *(x[keep] for x in (u, v, diff, common))))
 
 
-def _leaves(home: Tree, other: Tree, shift: int, limit: int, forest: Forest, lu: int, lv: int, u: np.ndarray, v: np.ndarray) -> None:
+def _chained(home: Tree, other: Tree, lu: int, lv: int, x: int, y: int, extra_limit: int) -> np.ndarray:
+    """Which neighbours in the chain through two groups agree in the further bits too."""
+    if home.extra is None:
+        n = len(home.order[x * FAN**lu : (x + 1) * FAN**lu]) + len(other.order[y * FAN**lv : (y + 1) * FAN**lv])
+        return np.ones(n - 1, bool)
+    bits = np.concatenate([home.extra[x * FAN**lu : (x + 1) * FAN**lu], other.extra[y * FAN**lv : (y + 1) * FAN**lv]])
+    return np.bitwise_count(bits[:-1] ^ bits[1:]) <= extra_limit
+
+
+def _leaves(home: Tree, other: Tree, shift: int, limit: int, forest: Forest, lu: int, lv: int, u: np.ndarray, v: np.ndarray, extra_limit: int = 64) -> None:
     """Lowest groups: those that aren't one part already are compared bit pattern by bit pattern."""
     if forest.edges and len(u):
         root = forest.roots()
@@ -191,8 +217,12 @@ def _leaves(home: Tree, other: Tree, shift: int, limit: int, forest: Forest, lu:
     width = np.arange(FAN**lu), np.arange(FAN**lv)
     a = np.minimum(u[:, None].astype(np.int64) * FAN**lu + width[0], len(home.order) - 1)  # the last one again where a group is short
     b = np.minimum(v[:, None].astype(np.int64) * FAN**lv + width[1], len(other.order) - 1)
-    found = np.nonzero(np.bitwise_count(home.patterns[0][a][:, :, None] ^ other.patterns[0][b][:, None, :]) <= limit)
-    forest.add(home.order[a[found[0], found[1]]], other.order[b[found[0], found[2]]] + shift)
+    at, i, j = np.nonzero(np.bitwise_count(home.patterns[0][a][:, :, None] ^ other.patterns[0][b][:, None, :]) <= limit)
+    x, y = a[at, i], b[at, j]
+    if home.extra is not None:
+        fit = np.bitwise_count(home.extra[x] ^ other.extra[y]) <= extra_limit
+        x, y = x[fit], y[fit]
+    forest.add(home.order[x], other.order[y] + shift)
 
 
 def _single(root: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
@@ -214,61 +244,81 @@ def leading_bits(count: int) -> int:
     return max(min(5, (count >> 15).bit_length()), (count >> 22).bit_length())
 
 
+def visits(rows: DataFrame, p: int, limit: int, group: str | None = None) -> DataFrame:
+    """Which node sees each row: its own, and as a guest those of two nodes within ``limit`` leading bits that a hash names.
+
+    Either of two near nodes may look for the links between them; the hash deals
+    them evenly. ``fp`` begins with the node's ``p`` bits; ``group`` numbers
+    indexes that stay apart. Adds ``node`` and ``guest``.
+    """
+    lead = F.shiftrightunsigned("fp", 64 - p).cast("int") if p else F.lit(0)
+    flips = [0, *(sum(1 << b for b in bits) for k in range(1, limit + 1) for bits in combinations(range(p), k))]
+    # the leading bits of a pattern and of its Gray rank determine each other: node numbers are leading bits
+    seen = rows.withColumn("_lead", lead).withColumn("_node", F.explode(F.array(*[F.col("_lead").bitwiseXOR(F.lit(x)) for x in flips])))
+    low, high = F.least("_lead", "_node"), F.greatest("_lead", "_node")
+    host = F.when(F.pmod(F.xxhash64(low, high), F.lit(2)) == 0, low).otherwise(high)
+    seen = seen.where(host == F.col("_node")).withColumn("guest", F.col("_node") != F.col("_lead"))
+    number = F.col("_node") if group is None else F.col(group) * F.lit(1 << p) + F.col("_node")
+    return seen.withColumn("node", number.cast("int")).drop("_lead", "_node")
+
+
 def links(nodes: DataFrame, limit: int = MAX_BITS, lead_bits: int | None = None) -> DataFrame:
     """Distinct ``fp`` -> edges ``a, b`` (fingerprints) that connect all that are linked.
 
     The number of nodes, 2**p, follows the count of distinct fingerprints; a
-    fingerprint visits the nodes that differ from its own leading p bits in at
-    most ``limit`` bits and stand before it, and its own. A task holds one
-    node's fingerprints and streams the visitors in bounded parts.
+    fingerprint visits its own node, and some of those that differ from it in at
+    most ``limit`` leading bits. Each node is a task of its own, which holds the
+    node's fingerprints and streams its guests in bounded parts.
     """
-    ship(nodes.sparkSession)
     p = leading_bits(nodes.count()) if lead_bits is None else lead_bits
-    lead = F.shiftrightunsigned("fp", 64 - p).cast("long") if p else F.lit(0).cast("long")
-    flips = [0, *(sum(1 << b for b in bits) for k in range(1, limit + 1) for bits in combinations(range(p), k))]
-    # the leading bits of a pattern and of its Gray rank determine each other: node numbers are leading bits
-    visits = nodes.select("fp", lead.alias("lead")).select("fp", "lead", F.explode(F.array(*[F.col("lead").bitwiseXOR(F.lit(x).cast("long")) for x in flips])).alias("node"))
-    visits = visits.where("node <= lead").select("node", (F.col("node") != F.col("lead")).alias("guest"), "fp")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    seen = visits(nodes.select("fp"), p, limit).select("node", "guest", "fp", F.lit(0).cast("long").alias("extra"), F.col("fp").alias("id"))
+    return index_links(seen, 1 << p, limit)
 
-    def edges(own, guests):
-        both = np.concatenate([own, guests]).view(np.int64)
-        x, y = link(own, guests, limit)
-        return pa.RecordBatch.from_arrays([pa.array(both[x]), pa.array(both[y])], schema=schema)
+
+def index_links(seen: DataFrame, n_nodes: int, limit: int, extra_limit: int = 64) -> DataFrame:
+    """Rows ``node, guest, fp, extra, id`` -> edges ``node, a, b`` between ids: forests of the links that each node finds."""
+    ship(seen.sparkSession)
+    schema = pa.schema([("node", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def edges(node, own, guests, within):
+        x, y = link(own[0].view(np.uint64), guests[0].view(np.uint64), limit, within=within, extra=(own[1].view(np.uint64), guests[1].view(np.uint64)) if extra_limit < 64 else None, extra_limit=extra_limit)
+        ids = np.concatenate([own[2], guests[2]])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node, np.int32)), pa.array(ids[x]), pa.array(ids[y])], schema=schema)
+
+    def joined(parts):
+        return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
 
     def run(batches):
-        node, own, held = None, [], []
+        node, own, held, size = None, [], [], 0
         for batch in batches:
             numbers, guest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            fps = batch.column(2).to_numpy().view(np.uint64)
+            values = [batch.column(i).to_numpy() for i in range(2, 5)]
             cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (guest[1:] != guest[:-1])) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)]):
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)]):
                 if lo == hi:
                     continue
                 if numbers[lo] != node:
                     yield from finish(node, own, held)
-                    node, own, held = numbers[lo], [], []
-                (held if guest[lo] else own).append(fps[lo:hi])
-                if held and sum(map(len, held)) >= 1 << 20:
-                    yield edges_between(own, held)
-                    held = []
+                    node, own, held, size = int(numbers[lo]), [], [], 0
+                (held if guest[lo] else own).append(tuple(v[lo:hi] for v in values))
+                size += (hi - lo) if guest[lo] else 0
+                if own and size >= 1 << 20:
+                    own = [joined(own)]
+                    yield edges(node, own[0], joined(held), False)
+                    held, size = [], 0
+                elif size >= 1 << 20:  # a node without fingerprints of its own links nothing
+                    held, size = [], 0
         yield from finish(node, own, held)
 
-    def edges_between(own, held):
-        home = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        guests = np.concatenate(held)
-        both = np.concatenate([home, guests]).view(np.int64)
-        x, y = link(home, guests, limit, within=False)
-        return pa.RecordBatch.from_arrays([pa.array(both[x]), pa.array(both[y])], schema=schema)
-
     def finish(node, own, held):
         if node is None or not own:
             return
         if held:
-            yield edges_between(own, held)
-        yield edges(np.concatenate(own), np.zeros(0, np.uint64))
+            yield edges(node, joined(own), joined(held), False)
+        yield edges(node, joined(own), joined([]), True)
 
-    return visits.repartition(1 << p, "node").sortWithinPartitions("node", "guest").mapInArrow(run, "a long, b long")
+    placed = seen.select("node", "guest", "fp", "extra", "id").repartitionById(n_nodes, "node")
+    return placed.sortWithinPartitions("node", "guest").mapInArrow(run, "node int, a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -298,7 +348,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``doc_id, fp, component_id``: the smallest id reachable over links of at most ``limit`` bits."""
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes.select("fp"), limit, lead_bits))
+    roots = components(links(nodes.select("fp"), limit, lead_bits).select("a", "b"))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = labelled.select("fp", "root").join(least, "root").select(F.col("fp").alias("key"), "component_id")

@@ -1,26 +1,35 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingle sets.
-
-The pipeline's near-duplicate stage links texts whose sets of shingles are
-similar by at least ``LEAST``. At 0.8 two 64-bit fingerprints differ in about ten
-bits, too many for an index of leading bits to prune anything, so candidates come
-from bands of minimum hashes here and every one is checked on the sets themselves:
-
-1. Texts with equal sets are one node. A node has ``BANDS`` keys, each of
-   ``ROWS`` minimum hashes; a pair similar by s shares no key with probability
-   (1 - s ** ROWS) ** BANDS, which is below 0.0001 at 0.8.
-2. A node is checked against the least node of its keys, then against the least
-   node of each key. Keys that still hold several components then travel with
-   their sets, and a key's task checks every pair between two components whose
-   minimum hashes agree in part (``SLACK``). Rows grow with a group's size, not its square.
-3. Components come from ``simhash_gray.components``.
+"""Operator 3 for a similarity: texts whose five-word shingle sets are similar by ``LEAST`` or more.
+
+At 0.8 two 64-bit fingerprints differ in about ten bits, too many for one index to
+prune anything. So a text gets a longer fingerprint, bits of which make several
+short ones, each with a Gray-order index of its own (``simhash_gray``):
+
+1. Texts with equal shingle sets are one node. A node's fingerprint has ``EXTRA``
+   bits and then ``tables`` patterns of ``bits`` bits. ``plan`` chooses both from
+   the number of texts: so many bits that few unrelated patterns link at
+   ``LIMIT`` bits, and so many tables that a pair at ``LEAST`` is linked in none with a
+   probability of ``MISS`` at most.
+2. Each table's index links nodes whose patterns differ in at most ``LIMIT`` bits and
+   whose extra bits in at most ``EXTRA_LIMIT``. A component of a table's links is a
+   key of its nodes.
+3. Every link is checked on the sets. A node is checked against the least node of
+   its keys, then against the least node of each key. Keys that still hold several
+   components then travel with their sets, in blocks of ``BLOCK`` nodes, and a task
+   checks every pair of a block, or of two, between components. Before that, rows
+   grow with a group's size, not its square.
+4. Components come from ``simhash_gray.components``.
 
 Words are those of ``simhash_gray.fingerprint``. A text of fewer words than a
 shingle has one shingle, a null or empty one none; all of the latter are one node.
-Rows with a null id take no part in checks.
+Rows with a null id take no part in checks and are components of their set's other
+rows, or have none. Repeated rows share a node. Texts are read whole; extra columns
+are left behind; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,18 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, only, ship, shuffle_partitions, stage
-from .simhash_gray import components
+from .simhash_gray import bit_votes, components, index_links, visits
 
 SEED = 42
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 24, 5
-#: Pairs of one key are checked if at least ``LEAST - SLACK`` of their minimum hashes agree: over five standard deviations.
-SLACK = 0.2
+LIMIT = 2
+EXTRA, EXTRA_LIMIT = 64, 24
+#: Least probability of a pair at ``LEAST`` to share no key; unrelated patterns that a pattern may link to on average.
+MISS, CHANCE = 0.002, 1 / 32
+#: Texts in a node of a table's index, and in a block of a key.
+NODE_TEXTS, BLOCK = 1 << 20, 5000
+#: The further bits in which a pair of one block may differ to be checked on the sets: over five standard deviations at 0.8.
+WIDE = 0.23
 _RNG = np.random.default_rng(SEED)
-_ODD = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
-_TIMES = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 64, 1024, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,41 +88,67 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(sums)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[at : at + 2048] * _TIMES + _PLUS).min(axis=1), out=least)
-    return least
-
-
-def _keys_of(least: np.ndarray) -> np.ndarray:
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = _mixed(key + column)
-    return key.view(np.int64)
-
+def plan(n: int, least: float = LEAST) -> tuple[int, int]:
+    """Bits of a pattern and number of tables for ``n`` texts.
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band; none for an empty set."""
-    return _keys_of(minima(hashes)) if len(hashes) else np.zeros(0, np.int64)
+    A bit differs with probability acos(cosine) / pi; of two sets of one size
+    similar by s the cosine is 2 s / (1 + s).
+    """
+    differs = math.acos(2 * least / (1 + least)) / math.pi
+    bits = 16
+    while max(n, 1) * sum(math.comb(bits, k) for k in range(LIMIT + 1)) > CHANCE * 2.0**bits:
+        bits += 1
+    linked = sum(math.comb(bits, k) * differs**k * (1 - differs) ** (bits - k) for k in range(LIMIT + 1))
+    return bits, math.ceil(math.log(MISS) / math.log1p(-linked))
+
+
+def patterns(hashes: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A set's extra bits, then its patterns, each in the leading bits of an unsigned 64-bit word."""
+    words = -(-(EXTRA + bits * tables) // 64)
+    votes = np.zeros(words * 64, np.int64)
+    for at in range(0, len(hashes), 4080):
+        part = hashes[at : at + 4080, None]
+        votes += bit_votes(_mixed(part * _ODD[:words] + _PLUS[:words]))
+    one = (votes * 2 > len(hashes)).astype(np.uint8)
+    filled = np.zeros((tables, 64), np.uint8)
+    filled[:, :bits] = one[EXTRA : EXTRA + bits * tables].reshape(tables, bits)
+    every = np.concatenate([np.packbits(one[:EXTRA]), np.packbits(filled, axis=1).ravel()])
+    return every.view(">u8").astype(np.uint64)
 
 
 def _node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, node, n, bands``: each row's set, the number of its shingles and its keys."""
+def signatures(docs: DataFrame, size: int, bits: int, tables: int) -> DataFrame:
+    """``doc_id, node, n, marks``: each row's set, the number of its shingles, its extra bits and patterns (none for an empty set)."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-            columns = [batch.column(0).cast(pa.int64()), [_node(s) for s in sets], [len(s) for s in sets], [band_keys(s) for s in sets]]
-            yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:]))], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                marks = [patterns(s, bits, tables).view(np.int64) if len(s) else [] for s in sets]
+                columns = [[_node(s) for s in sets], [len(s) for s in sets], marks]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, marks array<long>")
+
+
+def table_keys(nodes: DataFrame, n: int, tables: int) -> DataFrame:
+    """``node, key``: for each table the component of its index's links that a node lies in, if it has any link there."""
+    p = max(0, (n // NODE_TEXTS).bit_length())
+    extra = F.element_at("marks", 1)
+    rows = nodes.select("node", extra.alias("extra"), F.posexplode(F.slice("marks", 2, tables)).alias("table", "fp"))
+    seen = visits(rows.select(F.col("node").alias("id"), "extra", "table", "fp"), p, LIMIT, "table")
+    found = cut(index_links(seen, tables << p, LIMIT, EXTRA_LIMIT).select(F.shiftright("node", p).alias("table"), "a", "b"))
+    place = lambda c: F.xxhash64("table", c)  # noqa: E731  a node as one of a table's
+    roots = components(found.select(place("a").alias("a"), place("b").alias("b")))
+    ends = found.select(place("a").alias("_p"), F.col("a").alias("node")).unionByName(found.select(place("b").alias("_p"), F.col("b").alias("node"))).distinct()
+    roots = roots.withColumnRenamed("node", "_of")  # a root has no row of its own
+    return ends.join(roots, ends["_p"] == roots["_of"], "left").select("node", F.coalesce("root", "_p").alias("key"))
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -148,59 +187,73 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _links(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], key: int, least: float) -> list[tuple[int, int]]:
+def _links(nodes: np.ndarray, roots: np.ndarray, block: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links between components among the nodes of one key, those that look most similar first.
 
-    A pair is left to the first key that it shares.
+    With two blocks, those between them.
     """
-    low = [minima(s) for s in sets]
-    keys = np.array([_keys_of(x) for x in low])
-    band = np.argmax((keys == key).any(axis=0))
-    low, sizes, part = np.array(low).astype(np.uint32), np.array([len(s) for s in sets]), roots.copy()
-    out = []
+    wide = np.array([patterns(s, 64, 15) for s in sets])
+    sizes, part = np.array([len(s) for s in sets]), roots.copy()
+    crossing, out = block.min() != block.max(), []
     for i in range(1, len(nodes)):
         j = np.flatnonzero((part[:i] != part[i]) & (np.minimum(sizes[:i], sizes[i]) >= np.maximum(sizes[:i], sizes[i]) * least - 1e-9))
-        j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
-        share = (low[j] == low[i]).mean(axis=1)
-        likely = share >= least - SLACK
-        for x in j[likely][np.argsort(-share[likely], kind="stable")].tolist():
+        if crossing:
+            j = j[block[j] != block[i]]
+        apart = np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1) / (64 * wide.shape[1])
+        likely = apart <= WIDE
+        for x in j[likely][np.argsort(apart[likely], kind="stable")].tolist():
             if part[x] != part[i] and _is_similar(sets[x], sets[i], least):
                 out.append((int(nodes[x]), int(nodes[i])))
                 part[part == part[x]] = part[i]
     return out
 
 
-def linked_within_keys(rest: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Links ``a, b`` between components (``root``) among the nodes of each ``key``; a set travels once a key."""
+def linked_within_keys(rest: DataFrame, sets: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` between components (``root``) among the nodes of each ``key``.
+
+    A key of more than ``block`` nodes is dealt into blocks, and each two of them, or
+    one, are checked together; a task holds two blocks at most.
+    """
     ship(rest.sparkSession)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def finish(key, held):
-        found = _links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], key, least) if len(held) > 1 else []
+    def finish(held):
+        nodes, roots, blocks = (np.array([h[i] for h in held]) for i in range(3))
+        found = _links(nodes, roots, blocks, [h[3] for h in held], least) if len(held) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
 
     def run(batches):
         last, held = None, []
         for batch in batches:
-            for key, node, root, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if key != last and held:
-                    yield finish(last, held)
-                    held = []
-                last = key
-                held.append((node, root, np.frombuffer(raw, np.uint64)))
+            for at in range(0, batch.num_rows, 1000):
+                for key, low, high, own, node, root, raw in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns)):
+                    if (key, low, high) != last and held:
+                        yield finish(held)
+                        held = []
+                    last = key, low, high
+                    held.append((node, root, own, np.frombuffer(raw, np.uint64)))
         if held:
-            yield finish(last, held)
+            yield finish(held)
 
-    rows = rest.join(sets, "node").select("key", "node", "root", "hashes")
-    return rows.repartition(shuffle_partitions(rest.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    dealt = rest.join(counts, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pairs = dealt.select("key", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "_own", "node", "root")
+    rows = pairs.join(sets, "node").select("key", "_low", "_high", "_own", "node", "root", "hashes")
+    return rows.repartition(shuffle_partitions(rest.sparkSession), "key", "_low", "_high").sortWithinPartitions("key", "_low", "_high", "node").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """``doc_id, node, component_id``: the smallest id reachable over pairs similar by at least ``least``."""
-    slim = only(docs, doc_id=id_col, text=text_col)
-    marks = cut(signatures(slim, size))
-    nodes = cut(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
-    banded = nodes.where("first_id is not null").select("node", "n", F.explode("bands").alias("key"))
+    slim = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    total = slim.count()
+    bits, tables = plan(total, least)
+    marks = cut(signatures(slim, size, bits, tables))
+    nodes = cut(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("marks").alias("marks")))
+    marks = marks.select("doc_id", "node")
+    found = table_keys(nodes.where("first_id is not null and n > 0"), total, tables)
+    nodes = nodes.drop("marks")
+    banded = found.join(nodes.select("node", "n"), "node")
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_top"), F.min(F.struct("node", "n"))["n"].alias("hub_n")).where("hub < _top").drop("_top")
     busy = cut(banded.join(hubs, "key"))
     ids = nodes.join(busy.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("_id"))

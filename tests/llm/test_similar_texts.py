@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as p
-from sieveline.llm import shingle_sets
+from sieveline.llm import similar_texts
 
 
 def brute(rows, least=0.8):
@@ -54,11 +54,11 @@ def test_near_copies_of_similarity_of_0_8(spark):
     want, near = brute(rows)
     assert near > 300
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in shingle_sets.near_duplicates(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in similar_texts.near_duplicates(docs).collect()} == want
     assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == set(want.values())
 
 
 def test_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want, _ = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    assert {r.doc_id: r.component_id for r in shingle_sets.near_duplicates(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in similar_texts.near_duplicates(docs).collect()} == want
