@@ -336,7 +336,7 @@ def test_op8_kth_largest(spark):
         assert importance.kth_largest(df, "s", k) == sorted(values, reverse=True)[k - 1]
 
 
-def test_op8_weights_are_mean_log_ratios(spark, docs, texts):
+def test_op8_weights_are_sums_of_log_ratios(spark, docs, texts):
     ids = sorted(texts)[:40]
     target, raw = importance.models(docs.select("doc_id", "text"), ids)
     want_t, want_r = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
@@ -347,7 +347,21 @@ def test_op8_weights_are_mean_log_ratios(spark, docs, texts):
     assert (target == want_t).all() and (raw == want_r).all()
     ratios = importance.log_ratios(target, raw)
     for r in importance.weights(docs, ratios, []).collect():
-        assert abs(r.weight - ratios[importance.ngrams(texts[r.doc_id])].mean()) < 1e-9
+        assert abs(r.weight - ratios[g := importance.ngrams(texts[r.doc_id])].sum() / max(1, len(g)) ** 0.5) < 1e-9
+
+
+def test_op8_selection_is_gumbel_top_k(spark, sf):
+    """The kept rows are the k with the largest weight plus noise, k by what unseen target documents weigh."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = importance.resample(docs, labels).collect()
+    drawn = importance.target_ids(docs, labels)
+    unseen = sorted((r.weight for r in rows if r.doc_id in set(drawn[1::2])), reverse=True)
+    usual = unseen[math.ceil((1 - importance.SPARE) * len(unseen)) - 1]
+    k = sum(r.weight >= usual for r in rows)
+    least = sorted((r.score for r in rows), reverse=True)[k - 1]
+    assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in rows if r.score >= least}
+    noise = np.array([r.score - r.weight * importance.SPAN for r in rows])
+    assert abs(noise.mean() - 0.5772) < 0.35 and abs(noise.std() - math.pi / 6**0.5) < 0.35
 
 
 def test_op8_keeps_good_documents(spark):
