@@ -47,7 +47,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False)
         front = cut(reached.join(seen, "path", "left_anti").select("path", F.lit(hop).alias("depth")))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)  # written level by level already
     return seen.where("depth > 0")
 
 
@@ -113,13 +113,15 @@ def hubs(edges: DataFrame, n: int = HUB_SEEDS) -> DataFrame:
     return degrees(edges).orderBy(F.col("out_degree").desc(), "node").limit(n)
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = WALK_DEPTH, undirected: bool = True, max_nodes: int = MAX_NODES) -> list[str]:
+def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = WALK_DEPTH, undirected: bool = True, max_nodes: int = MAX_NODES) -> tuple[list[str], bool]:
     """Nodes from ``start`` to ``goal`` over built edges (``source, target, kind``); the directed way first, then both ways.
 
-    Of several shortest ways the one that sorts first, node by node. Empty if there is none within the depth.
+    Of several shortest ways the one that sorts first, node by node. Empty if there is none within the depth;
+    the second value tells whether a level was cut to ``max_nodes``, so that there may be one all the same.
     """
     if start == goal:
-        return [start]
+        return [start], False
+    over = False
     forward = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
     back = forward.select(F.col("b").alias("a"), F.col("a").alias("b"))
     for links in (forward, forward.unionByName(back).distinct()) if undirected else (forward,):
@@ -127,14 +129,18 @@ def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = WALK_DEP
         front = seen
         for _ in range(depth):
             step = front.join(links, front.node == links.a).groupBy(F.col("b").alias("node")).agg(F.min(F.concat("way", F.array("b"))).alias("way"))
-            front = cut(step.join(seen.select("node"), "node", "left_anti").orderBy("way").limit(max_nodes))
-            found = front.where(F.col("node") == goal).first()
+            new = cut(step.join(seen.select("node"), "node", "left_anti"))
+            found = new.where(F.col("node") == goal).first()
             if found:
-                return list(found.way)
-            if front.isEmpty():
+                return list(found.way), over
+            front = cut(new.orderBy("way").limit(max_nodes + 1))
+            n = front.count()
+            if not n:
                 break
-            seen = cut(seen.unionByName(front))
-    return []
+            if n > max_nodes:
+                over, front = True, front.orderBy("way").limit(max_nodes)
+            seen = seen.unionByName(front)
+    return [], over
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_DEPTH, inbound: bool = False, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame, bool]:
@@ -162,7 +168,7 @@ def impact(edges: DataFrame, path: str, depth: int = IMPACT_DEPTH) -> DataFrame:
         new = cut(found.join(seen, "path", "left_anti").select("path", F.lit(hop).alias("depth")))
         if new.isEmpty():
             break
-        seen = cut(seen.unionByName(new))
+        seen = seen.unionByName(new)
         level = new.select(F.concat(dirname(F.col("path")), F.lit("/")).alias("dir")).distinct()
     return seen.where("depth > 0")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, norm, rerank_terms, search_words
+from ..functions.scalars import cosine, is_sensitive, norm, rerank_terms, search_words
 
 #: Fixed values of fusion: rank constant, bonus for a hit in both legs.
 RRF_K, OVERLAP_BONUS = 60, 0.02
@@ -208,3 +208,48 @@ def chat_window(messages: DataFrame, keep_users: int, conversation: str = "conv_
 def query_terms(query: Column) -> Column:
     """The terms of a request."""
     return search_words(query)
+
+
+def hybrid_route(vector: DataFrame | None, keyword: DataFrame | None, k: int, keys: tuple[str, ...] = ("path", "start_line")) -> DataFrame:
+    """The fused lists with ``route``: hybrid, or the leg that is left if the other one failed (is None); an empty leg failed nothing.
+
+    Whichever way, rows are those of ``fuse_rrf``; with neither leg there is nothing to answer with.
+    """
+    if vector is None and keyword is None:
+        raise ValueError("both legs failed")
+    one = vector if vector is not None else keyword
+    route = "hybrid" if vector is not None and keyword is not None else "vector" if vector is not None else "keyword"
+    none = one.limit(0)
+    fused = fuse_rrf(vector if vector is not None else none, keyword if keyword is not None else none, k, keys)
+    return fused.where(F.col("rank") <= k).withColumn("route", F.lit(route))
+
+
+def without_sensitive(sources: DataFrame, path: str = "path") -> DataFrame:
+    """What may go into a prompt: sources whose path isn't sensitive."""
+    return sources.where(~is_sensitive(F.col(path)))
+
+
+def probe_dimensions(tables: list[DataFrame], column: str = "embedding") -> DataFrame:
+    """``dims`` of the first table, in their order, that holds a vector; each table gives one row at most."""
+    first = [t.where(F.col(column).isNotNull()).select(F.lit(i).alias("_i"), F.size(column).alias("dims")).limit(1) for i, t in enumerate(tables)]
+    out = first[0]
+    for one in first[1:]:
+        out = out.unionByName(one)
+    return out.orderBy("_i").limit(1).select("dims")
+
+
+def text_scan(chunks: DataFrame, project: str, words: list[str], *, text: str = "content") -> DataFrame:
+    """A project's chunks that hold one of the words; the project's filter reaches the scan, as a partition's or a row group's."""
+    low = F.lower(F.col(text))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | low.contains(w.lower())
+    return chunks.where((F.col("project") == project) & hit)
+
+
+def cached_results(results: DataFrame, cache: DataFrame, now, ttl_seconds: int, size: int) -> DataFrame:
+    """The cache after new ``query, at, answer`` rows: those younger than ``ttl_seconds``, the last written of a query, the ``size`` newest in all."""
+    every = cache.unionByName(results.select(*cache.columns))
+    newest = every.groupBy("query").agg(F.max("at").alias("at"), F.max_by("answer", F.struct("at", "answer")).alias("answer"))
+    live = newest.where(F.col("at") > now - F.make_interval(secs=F.lit(ttl_seconds)))
+    return live.orderBy(F.col("at").desc(), "query").limit(size)

@@ -170,3 +170,17 @@ def trend(points: DataFrame) -> DataFrame:
     """First and last count of each query, and the change in percent (null from 0)."""
     ends = points.groupBy("query").agg(F.min_by("match_count", "ts").alias("first"), F.max_by("match_count", "ts").alias("last"))
     return ends.withColumn("percent", F.when(F.col("first") != 0, 100.0 * (F.col("last") - F.col("first")) / F.col("first")))
+
+
+def in_scope(rows: DataFrame, members: DataFrame, tokens: DataFrame, user: str) -> DataFrame:
+    """Rows of workspaces that a user belongs to, or that have no member at all, unless a token of theirs names other workspaces only.
+
+    ``members``: ``workspace, user``; ``tokens``: ``user, workspace``, none for a token without limits.
+    """
+    theirs = members.where(F.col("user") == user).select("workspace").distinct()
+    closed = members.select("workspace").distinct().join(theirs, "workspace", "left_anti")
+    seen = rows.join(closed, "workspace", "left_anti")
+    limits = tokens.where(F.col("user") == user).select("workspace").distinct()
+    free = limits.agg((F.count("*") == 0).alias("_free"))
+    named = limits.withColumn("_named", F.lit(True))
+    return seen.join(named, "workspace", "left").join(F.broadcast(free), F.lit(True)).where("_free or _named").drop("_free", "_named")

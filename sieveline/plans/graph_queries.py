@@ -55,7 +55,7 @@ def _(spark, t):
 def _(spark, t):
     e = edges(t)
     ends = e.agg(F.min("source_file").alias("f"), F.max("target_file").alias("g")).first()
-    way = g.shortest_path(g.build(e), ends.f, ends.g)
+    way, _ = g.shortest_path(g.build(e), ends.f, ends.g)
     return spark.createDataFrame([(n, i) for i, n in enumerate(way)], "node string, place long")
 
 
