@@ -39,6 +39,7 @@ SEED = 42
 MAX_BITS = 3
 SHINGLE = 3
 FAN = 8
+LEAF_PAIRS = 1 << 14
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -109,11 +110,11 @@ class Tree:
 
 
 class Forest:
-    """Union-find that keeps the edges which joined two parts."""
+    """Union-find over numbers."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grown = False
 
     def roots(self) -> np.ndarray:
         p = self.parent
@@ -136,15 +137,16 @@ class Forest:
             high, low = np.maximum(ra, rb), np.minimum(ra, rb)
             best = np.lexsort((low, high))  # each upper root joins its lowest neighbour
             first = best[np.concatenate([[True], high[best][1:] != high[best][:-1]])]
-            self.edges.append((a[first], b[first]))
+            self.grown = True
             self.parent[high[first]] = low[first]
 
 
 def link(own: np.ndarray, guests: np.ndarray, limit: int = MAX_BITS, chunk: int = 1 << 15, within: bool = True, extra: tuple[np.ndarray, np.ndarray] | None = None, extra_limit: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``own`` (unless not asked for) and between ``own`` and ``guests``.
 
-    Edges are numbers into ``concatenate([own, guests])``. ``extra``: further bits
-    of either side, in which linked ones may differ by ``extra_limit`` at most.
+    Edges lead from one member of each part to the others, as numbers into
+    ``concatenate([own, guests])``. ``extra``: further bits of either side, in which
+    linked ones may differ by ``extra_limit`` at most.
     """
     forest = Forest(len(own) + len(guests))
     more = extra or (None, None)
@@ -153,9 +155,9 @@ def link(own: np.ndarray, guests: np.ndarray, limit: int = MAX_BITS, chunk: int
         _descend(home, home, 0, limit, chunk, forest, True, extra_limit)
     if len(own) and len(guests):
         _descend(home, Tree(guests, more[1]), len(own), limit, chunk, forest, False, extra_limit)
-    a = np.concatenate([x for x, _ in forest.edges]) if forest.edges else np.zeros(0, np.int64)
-    b = np.concatenate([y for _, y in forest.edges]) if forest.edges else np.zeros(0, np.int64)
-    return a, b
+    root = forest.roots()
+    b = np.flatnonzero(root != np.arange(len(root)))
+    return root[b], b
 
 
 def _descend(home: Tree, other: Tree, shift: int, limit: int, chunk: int, forest: Forest, same: bool, extra_limit: int = 64) -> None:
@@ -172,12 +174,18 @@ def _descend(home: Tree, other: Tree, shift: int, limit: int, chunk: int, forest
         # whole groups within the limit: everything below is linked, so one chain does
         near = diff + (64 - np.bitwise_count(fixed)) <= limit
         if near.any():
-            for i in np.flatnonzero(near).tolist():
+            here = np.flatnonzero(near)
+            here = here[_apart(home, other, shift, forest, lu, lv, u[here], v[here])]
+            heads, tails = [], []
+            for i in here.tolist():
                 x, y = int(u[i]), int(v[i])
                 every = np.concatenate([home.order[x * FAN**lu : (x + 1) * FAN**lu], other.order[y * FAN**lv : (y + 1) * FAN**lv] + shift])
                 fit = _chained(home, other, lu, lv, x, y, extra_limit)
-                forest.add(every[:-1][fit], every[1:][fit])
+                heads.append(every[:-1][fit])
+                tails.append(every[1:][fit])
                 near[i] = fit.all()  # otherwise what the chain left apart is looked at further down
+            if heads:
+                forest.add(np.concatenate(heads), np.concatenate(tails))
             u, v, diff, fixed = (x[~near] for x in (u, v, diff, fixed))
         if lu <= 1 and lv <= 1:
             _leaves(home, other, shift, limit, forest, lu, lv, u, v, extra_limit)
@@ -205,15 +213,26 @@ def _chained(home: Tree, other: Tree, lu: int, lv: int, x: int, y: int, extra_li
     return np.bitwise_count(bits[:-1] ^ bits[1:]) <= extra_limit
 
 
+def _apart(home: Tree, other: Tree, shift: int, forest: Forest, lu: int, lv: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs of groups aren't one part already."""
+    if not forest.grown:
+        return np.ones(len(u), bool)
+    root = forest.roots()
+    ru, rv = _single(root[home.order], lu, u), _single(root[other.order + shift], lv, v)
+    return (ru < 0) | (ru != rv)
+
+
 def _leaves(home: Tree, other: Tree, shift: int, limit: int, forest: Forest, lu: int, lv: int, u: np.ndarray, v: np.ndarray, extra_limit: int = 64) -> None:
     """Lowest groups: those that aren't one part already are compared bit pattern by bit pattern."""
-    if forest.edges and len(u):
-        root = forest.roots()
-        ru, rv = _single(root[home.order], lu, u), _single(root[other.order + shift], lv, v)
-        live = (ru < 0) | (ru != rv)
-        u, v = u[live], v[live]
-    if not len(u):
-        return
+    for at in range(0, len(u), LEAF_PAIRS):  # a dense part has many links a pair, so few pairs at a time
+        x, y = u[at : at + LEAF_PAIRS], v[at : at + LEAF_PAIRS]
+        live = _apart(home, other, shift, forest, lu, lv, x, y)
+        x, y = x[live], y[live]
+        if len(x):
+            _compare(home, other, shift, limit, forest, lu, lv, x, y, extra_limit)
+
+
+def _compare(home: Tree, other: Tree, shift: int, limit: int, forest: Forest, lu: int, lv: int, u: np.ndarray, v: np.ndarray, extra_limit: int) -> None:
     width = np.arange(FAN**lu), np.arange(FAN**lv)
     a = np.minimum(u[:, None].astype(np.int64) * FAN**lu + width[0], len(home.order) - 1)  # the last one again where a group is short
     b = np.minimum(v[:, None].astype(np.int64) * FAN**lv + width[1], len(other.order) - 1)

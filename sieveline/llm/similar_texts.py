@@ -14,9 +14,10 @@ short ones, each with a Gray-order index of its own (``simhash_gray``):
    key of its nodes.
 3. Every link is checked on the sets. A node is checked against the least node of
    its keys, then against the least node of each key. Keys that still hold several
-   components then travel with their sets, in blocks of ``BLOCK`` nodes, and a task
-   checks every pair of a block, or of two, between components. Before that, rows
-   grow with a group's size, not its square.
+   components are put together where they share nodes, so each node is held once, and
+   travel with their sets in blocks of ``BLOCK`` nodes; a task checks every pair of a
+   block, or of two, between components. Before that, rows grow with a group's size,
+   not its square.
 4. Components come from ``simhash_gray.components``.
 
 Words are those of ``simhash_gray.fingerprint``. A text of fewer words than a
@@ -48,8 +49,9 @@ EXTRA, EXTRA_LIMIT = 64, 24
 MISS, CHANCE = 0.002, 1 / 32
 #: Texts in a node of a table's index, and in a block of a key.
 NODE_TEXTS, BLOCK = 1 << 20, 5000
-#: The further bits in which a pair of one block may differ to be checked on the sets: over five standard deviations at 0.8.
-WIDE = 0.23
+#: Share of ``WIDE_WORDS`` words of further bits in which a pair of one block may differ to be checked on the sets: five standard
+#: deviations above that of a pair similar by 0.8, and more for small sets, whose bits are less regular.
+WIDE_WORDS, WIDE, WIDE_SMALL, SMALL = 60, 0.182, 0.3, 64
 _RNG = np.random.default_rng(SEED)
 _ODD = _RNG.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 64, 1024, np.uint64)
@@ -144,6 +146,9 @@ def table_keys(nodes: DataFrame, n: int, tables: int) -> DataFrame:
     rows = nodes.select("node", extra.alias("extra"), F.posexplode(F.slice("marks", 2, tables)).alias("table", "fp"))
     seen = visits(rows.select(F.col("node").alias("id"), "extra", "table", "fp"), p, LIMIT, "table")
     found = cut(index_links(seen, tables << p, LIMIT, EXTRA_LIMIT).select(F.shiftright("node", p).alias("table"), "a", "b"))
+    if not p:  # a table is one node: its edges lead from one member of a component to the others
+        key = F.xxhash64("table", "a")
+        return found.select(F.col("b").alias("node"), key.alias("key")).unionByName(found.select(F.col("a").alias("node"), key.alias("key")).distinct())
     place = lambda c: F.xxhash64("table", c)  # noqa: E731  a node as one of a table's
     roots = components(found.select(place("a").alias("a"), place("b").alias("b")))
     ends = found.select(place("a").alias("_p"), F.col("a").alias("node")).unionByName(found.select(place("b").alias("_p"), F.col("b").alias("node"))).distinct()
@@ -192,15 +197,16 @@ def _links(nodes: np.ndarray, roots: np.ndarray, block: np.ndarray, sets: list[n
 
     With two blocks, those between them.
     """
-    wide = np.array([patterns(s, 64, 15) for s in sets])
+    wide = np.array([patterns(s, 64, WIDE_WORDS) for s in sets])
     sizes, part = np.array([len(s) for s in sets]), roots.copy()
+    most = np.where(sizes < SMALL, WIDE_SMALL, WIDE)
     crossing, out = block.min() != block.max(), []
     for i in range(1, len(nodes)):
         j = np.flatnonzero((part[:i] != part[i]) & (np.minimum(sizes[:i], sizes[i]) >= np.maximum(sizes[:i], sizes[i]) * least - 1e-9))
         if crossing:
             j = j[block[j] != block[i]]
         apart = np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1) / (64 * wide.shape[1])
-        likely = apart <= WIDE
+        likely = apart <= np.maximum(most[j], most[i])
         for x in j[likely][np.argsort(apart[likely], kind="stable")].tolist():
             if part[x] != part[i] and _is_similar(sets[x], sets[i], least):
                 out.append((int(nodes[x]), int(nodes[i])))
@@ -279,7 +285,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         edges = cut(edges.unionByName(similar(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least)))
         roots, rest = rooted(edges)
     if not rest.isEmpty():
-        edges = cut(edges.unionByName(linked_within_keys(rest, sets, least)))
+        held = components(rest.select(F.col("node").alias("a"), F.col("key").alias("b"))).withColumnRenamed("node", "_of").withColumnRenamed("root", "_held")
+        joined = rest.select("node", F.col("root").alias("own")).distinct().join(held, F.col("node") == held["_of"], "left")
+        once = cut(joined.select(F.coalesce("_held", "node").alias("key"), "node", F.col("own").alias("root")))
+        edges = cut(edges.unionByName(linked_within_keys(once, sets, least)))
         roots = cut(components(edges))
     labelled = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
