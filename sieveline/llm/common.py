@@ -1,8 +1,7 @@
 """Small helpers shared by the training-data operators.
 
 Lineage is cut only through files in the folder that the session names in
-``spark.checkpoint.dir`` (a folder is chosen here only when it is unset, as in
-tests), so that a lost executor never loses an intermediate result.
+``spark.checkpoint.dir`` (a local session that names none gets one, as in tests), so that a lost executor never loses an intermediate result.
 """
 
 from __future__ import annotations
@@ -22,9 +21,11 @@ _SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a fresh one only if it is unset."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of this machine; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,15 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """A wide table written as compressed Parquet into the shared folder.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes when the driver's process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
 
-    The files go when the driver's process ends.
-    """
+
+def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """A wide table written as compressed Parquet into the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,8 @@ encoded again; their first one takes the new count, and the sums above follow.
 Trees are heaps in arrays: node 1 is the root, leaves start at half the length;
 ``tokens`` and ``chars`` hold sums of tokens and characters.
 
-Nulls: a null text is an empty one (a tree with one empty run). Edits must not
+Trees are rows of a table: write it, and later edits start from there. Texts of any
+length have a tree of as many runs. Extra columns are left behind. Nulls: a null text is an empty one (a tree with one empty run). Edits must not
 overlap; an edit outside the text is cut to it; null edits are none. Repeated
 rows have a tree each. An empty table gives no rows.
 """
@@ -159,9 +160,11 @@ _NUMBER = re.compile(r"\+?\(?\d[\d ().-]{7,30}\d")
 
 def redactions(text: str) -> list[Edit]:
     """The edits of the registered query: mail addresses and long numbers become placeholders."""
-    found = [(m.start(), m.end(), "<email>") for m in _EMAIL.finditer(text)] if "@" in text else []
-    taken = [(a, b) for a, b, _ in found]
-    for m in _NUMBER.finditer(text):
-        if all(m.end() <= a or m.start() >= b for a, b in taken):
-            found.append((m.start(), m.end(), "<number>"))
-    return found
+    mails = [(m.start(), m.end(), "<email>") for m in _EMAIL.finditer(text)] if "@" in text else []
+    numbers, i = [], 0
+    for m in _NUMBER.finditer(text):  # both in order: each address is passed once
+        while i < len(mails) and mails[i][1] <= m.start():
+            i += 1
+        if i == len(mails) or mails[i][0] >= m.end():
+            numbers.append((m.start(), m.end(), "<number>"))
+    return mails + numbers

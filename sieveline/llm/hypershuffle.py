@@ -2,21 +2,23 @@
 
 A uniform shuffle into shards of exact sizes, without one global sort:
 
-1. number the rows of each source partition (a slim table of keys, written to
-   the shared folder, so that all later steps and retries see the same rows);
+1. write the rows with their source partition and their place in it to the shared
+   folder, so that all later steps and retries see the same rows;
 2. draw the matrix on the driver: how many rows of each source partition go to
    each shard, multivariate hypergeometric with the shard sizes as margins;
 3. permute each source partition and deal its rows by the matrix's row;
-4. exchange, and permute each shard again. The second permutation is a sort by a
-   keyed hash, taken in sub-buckets of about ``BUCKET_ROWS`` rows by the hash's
-   range, so no task holds a whole shard.
+4. exchange the rows, and permute each shard again.
+
+A permutation is a sort by a keyed hash, taken in sub-buckets of about
+``BUCKET_ROWS`` rows by the hash's range, so no task holds a whole shard or partition.
 
 Shard sizes differ by at most one (law ``rows``). Which documents are equal has no
 influence: copies fall where the shuffle puts them.
 
 Nulls and ties: every row counts, whatever is null in it; rows are told apart by
-their place in the slim table, so repeated rows get slots of their own. An empty
-table gives no rows.
+their place, so repeated rows get slots of their own. Texts of any length are rows
+like others; columns travel in a struct, so their names clash with nothing. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,20 +29,63 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import fresh_path, stage
 
 BUCKET_ROWS = 100_000
 
 
+#: log(n!) less Stirling's formula for small n; a series gives the others.
+_EXACT = 16
+
+
+def _stirling_error(n: int) -> float:
+    if n < _EXACT:
+        return math.lgamma(n + 1.0) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / n**2) / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """``x log(x / mean) + mean - x`` without cancellation where they are near."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            new = total + term / (2 * j + 1)
+            if new == total:
+                return new
+            total, j = new, j + 1
+    return x * math.log(x / mean) + mean - x
+
+
+def _binomial(x: int, n: int, p: float, q: float) -> float:
+    """The binomial probability by the saddle-point form, good to about 1e-14 whatever the sizes."""
+    if x == 0:
+        return math.exp(n * (math.log1p(-p) if p < 0.1 else math.log(q)))
+    if x == n:
+        return math.exp(n * (math.log1p(-q) if q < 0.1 else math.log(p)))
+    log = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return math.exp(log) * math.sqrt(n / (2 * math.pi * x * (n - x)))
+
+
+def probability(k: int, good: int, bad: int, drawn: int) -> float:
+    """The chance of ``k`` good ones among ``drawn``: a ratio of binomial probabilities."""
+    n = good + bad
+    p, q = drawn / n, (n - drawn) / n
+    return _binomial(k, good, p, q) * _binomial(drawn - k, bad, p, q) / _binomial(drawn, n, p, q)
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
-    """Exact draw for any sizes: inversion outward from the mode (time grows with the standard deviation)."""
+    """A draw by inversion outward from the mode (time grows with the standard deviation).
+
+    The probabilities it adds up are good to about 1e-13 each; what rounding leaves
+    of the whole, below 1e-9, falls on the mode.
+    """
     low, high = max(0, drawn - bad), min(drawn, good)
     if low == high:
         return low
     mode = min(high, max(low, (drawn + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-    choose = lambda n, k: lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-    p = math.exp(choose(good, mode) + choose(bad, drawn - mode) - choose(good + bad, drawn))
+    p = probability(mode, good, bad, drawn)
     u = rng.random() - p
     up, down, p_up, p_down = mode, mode, p, p
     while u > 0:
@@ -78,31 +123,44 @@ def matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """All columns of ``df`` (but ``_``-prefixed ones of these names) with ``shard`` int and ``slot`` long.
+    """All columns of ``df`` with ``shard`` int and ``slot`` long, which replace columns of these names; others may have any name.
 
-    ``df`` should be narrow: it is written once to the shared folder.
+    The rows are written once to the shared folder with their place, and exchanged whole.
     """
     spark = df.sparkSession
-    own = [c for c in df.columns if c not in ("shard", "slot", "_p", "_at")]
-    keyed = cut(df.select(*[F.col(f"`{c}`") for c in own], F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_at")))
-    counts = {r._p: r.n for r in keyed.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    row = F.struct(*[df[f"`{c}`"] for c in df.columns if c not in ("shard", "slot")])
+    keyed = stage(df.select(row.alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "rows")
+    counts = {r.part: r.n for r in keyed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
     total = sum(counts.values())
     sizes = [total // shards + (i < total % shards) for i in range(shards)]
     names = sorted(counts)
     rows = matrix([counts[p] for p in names], sizes, seed)
     ends = [(p, [sum(row[: i + 1]) for i in range(shards)]) for p, row in zip(names, rows)]
-    dealt = F.broadcast(spark.createDataFrame(ends, "_p int, _ends array<long>"))  # partitions x shards numbers
-    first = F.xxhash64(F.lit(seed), F.lit("first"), "_at")
-    second = F.xxhash64(F.lit(seed), F.lit("second"), "_at")
-    local = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(first, "_at")))
-    placed = local.join(dealt, "_p").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_r"))))
-    buckets = max(1, -(-max(sizes, default=0) // BUCKET_ROWS))
-    # the hash's upper bits as a number from 0 to 2**31 - 1, cut into equal ranges
-    upper = F.shiftrightunsigned("_u", 33).cast("long")
-    placed = placed.withColumn("_u", second).withColumn("_b", F.floor(upper * buckets / F.lit(2.0**31)).cast("int"))
-    placed = placed.select(*[F.col(f"`{c}`") for c in own], "shard", "_b", "_at", upper.alias("_h"), "_u")
-    held = placed.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
-    base = held.select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_h", "_u", "_at"))
-    slots = placed.withColumn("_k", rank).join(F.broadcast(base), ["shard", "_b"])
-    return slots.select(*[F.col(f"`{c}`") for c in own], "shard", (F.col("_base") + F.col("_k") - 1).cast("long").alias("slot"))
+    dealt = spark.createDataFrame(ends, "part int, ends array<long>")  # partitions x shards numbers
+    first = F.xxhash64(F.lit(seed), F.lit("first"), "at")
+    second = F.xxhash64(F.lit(seed), F.lit("second"), "at")
+    # each source partition's rows in sub-buckets by their hash, so a permutation is no task's whole partition
+    local = _ranked(keyed.withColumn("hash", first), "part", max(counts.values(), default=0))
+    placed = local.join(F.broadcast(dealt), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+    out = _ranked(placed.select("row", "at", "shard").withColumn("hash", second), "shard", max(sizes, default=0))
+    return out.select("row.*", "shard", F.col("rank").alias("slot"))
+
+
+def _ranked(rows: DataFrame, key: str, largest: int) -> DataFrame:
+    """Adds ``rank``, from 0 within each key by ``hash`` (then ``at``), counted in sub-buckets of about ``BUCKET_ROWS`` rows."""
+    buckets = max(1, -(-largest // BUCKET_ROWS))
+    upper = F.shiftrightunsigned("hash", 33).cast("long")  # 0 to 2**31 - 1, cut into equal ranges
+    rows = rows.withColumn("upper", upper).withColumn("bucket", F.floor(F.col("upper") * buckets / F.lit(2.0**31)).cast("int"))
+    held = rows.groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    base = held.select(key, "bucket", (F.sum("n").over(Window.partitionBy(key).orderBy("bucket")) - F.col("n")).alias("base"))
+    number = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("upper", "hash", "at"))
+    ranked = rows.withColumn("number", number).join(F.broadcast(base), [key, "bucket"])  # one row a bucket
+    return ranked.withColumn("rank", (F.col("base") + F.col("number") - 1).cast("long")).drop("upper", "bucket", "number", "base", "hash")
+
+
+def write_shards(df: DataFrame, shards: int, path: str | None = None, seed: int = 0) -> DataFrame:
+    """The shards as folders ``shard=0`` and so on of Parquet files with ``slot``; returns what was written."""
+    path = path or fresh_path(df.sparkSession, "shards")
+    out = shuffle_into_shards(df, shards, seed)
+    out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import centroids, decontaminate, divergence, divergence_sql, edit_counts, html_region, hypershuffle, importance, kk_pack, rans, simhash_gray
+from .common import stage
 from .tokens import vocabulary_path
 
 
@@ -24,8 +25,8 @@ def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded, freq = rans.write(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
-    return rans.read(encoded, freq).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = rans.write(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    return rans.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +43,9 @@ def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hypershuffle.write_shards(table(spark, sf_dir, "documents"), 8, seed=5)  # the documents themselves; digests are of what was written
     text = F.coalesce("text", F.lit(""))
-    slim = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = hypershuffle.shuffle_into_shards(slim, 8, seed=5)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_scored_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = vocabulary_path("byte_bpe_50k.json")
-    trees = edit_counts.build_trees(table(spark, sf_dir, "documents"), vocabulary)
+    trees = stage(edit_counts.build_trees(table(spark, sf_dir, "documents"), vocabulary), "trees")  # kept; the edits below are another job's
     edited = edit_counts.update_trees(trees, vocabulary, edit_counts.redactions)
     return edited.select("doc_id", "n_before", "n_edits", "n_tokens", "reencoded_chars", F.char_length("text").cast("long").alias("n_chars"))
 

@@ -78,10 +78,37 @@ def test_op2_against_brute_force(spark, sf, texts):
 
 
 def test_op2_odd_inputs(spark):
-    out = rans.read(*rans.write(odd(spark), BYTES)).orderBy("start").collect()
+    out = rans.read(spark, rans.write(odd(spark), BYTES)).orderBy("start").collect()
     assert len(out) == len(ODD) + 1 and out[0].doc_id is None and out[0].start == 0
     assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:]))
-    assert rans.read(*rans.write(empty(spark), BYTES)).count() == 0
+    assert rans.read(spark, rans.write(empty(spark), BYTES)).count() == 0
+
+
+def test_op2_large_blocks_decode_in_parts(spark, docs):
+    """Blocks above a size, one of a very long document among them, are decoded in parts and give the same documents."""
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()[:40]] + [(-1, "a very long text of words " * 20_000)]
+    path = rans.write(spark.createDataFrame(rows, "doc_id long, text string"), BYTES, shards=2, lanes=64, every=8)
+    whole = {r.doc_id: r for r in rans.read(spark, path).collect()}
+    parts = rans.read(spark, path, part_ids=3000)
+    assert {r.doc_id: r for r in parts.collect()} == whole and len(whole) == 41
+    n = spark.read.parquet(f"{path}/blocks").agg({"n_ids": "sum"}).first()[0]
+    assert n == sum(r.n_tokens for r in whole.values())
+
+
+def test_op2_is_read_by_another_process(spark, docs, tmp_path):
+    """The folder is all that a reader needs."""
+    import subprocess
+    import sys
+
+    path = rans.write(docs.limit(30), BYTES, path=str(tmp_path / "written"))
+    code = (
+        "import sys, json; from pyspark.sql import SparkSession; from sieveline.llm import rans\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('READ', json.dumps(sorted([r.doc_id, r.start, len(r.ids)] for r in rans.read(spark, sys.argv[1]).collect())))"
+    )
+    done = subprocess.run([sys.executable, "-c", code, path], capture_output=True, text=True, timeout=300)
+    want = sorted([r.doc_id, r.start, len(r.ids)] for r in rans.read(spark, path).collect())
+    assert f"READ {__import__('json').dumps(want)}" in done.stdout, done.stderr[-2000:]
 
 
 def test_differencing_packs_everything_once():
@@ -275,6 +302,24 @@ def test_hypergeometric_margins_and_law():
         assert abs(draws[k] / 20_000 - math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5)) < 0.015
     big = hypershuffle.hypergeometric(rng, 10**11, 10**11, 10**11)
     assert abs(big - 5 * 10**10) < 10**7
+    for good, bad, drawn in ((6, 9, 5), (40, 3, 20), (1, 10**6, 500), (10**4, 10**5, 300), (25, 25, 25)):
+        for k in range(max(0, drawn - bad), min(good, drawn) + 1):
+            exact = math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn)
+            assert abs(hypershuffle.probability(k, good, bad, drawn) - exact) <= 1e-11 * exact + 1e-300
+    n, d, g = 8 * 10**11, 10**8, 10**11  # the mode's probability there against the normal limit
+    spread = math.sqrt(d * (g / n) * (1 - g / n) * (n - d) / (n - 1))
+    assert abs(hypershuffle.probability(d // 8, g, n - g, d) * spread * math.sqrt(2 * math.pi) - 1) < 1e-7
+
+
+def test_op5_shuffle_is_uniform(spark):
+    """Over many seeds, each row falls into each shard and slot equally often (chi-square)."""
+    df = spark.range(12).selectExpr("id AS doc_id").repartition(3)
+    counts, n = collections.Counter(), 60
+    for seed in range(n):
+        for r in hypershuffle.shuffle_into_shards(df, 3, seed=seed).collect():
+            counts[r.doc_id, r.shard * 4 + r.slot] += 1
+    chi = sum((counts[i, j] - n / 12) ** 2 / (n / 12) for i in range(12) for j in range(12))
+    assert 60 < chi < 190  # 121 degrees of freedom: mean 121, deviation 15.6
 
 
 def test_op5_sizes_slots_and_chance(spark, sf, texts):
@@ -412,11 +457,26 @@ def test_op10_against_whole_encoding(texts):
         assert int(tree.chars[1]) == len(want)
 
 
-def test_op10_reencodes_little(spark, sf):
+def test_op10_reencodes_little(spark, sf, texts):
+    encoder = PieceTokenizer(BYTES)
     for r in q.op10_edit_token_counts(spark, sf).collect():
+        text = texts[r.doc_id] or ""
+        assert r.n_before == len(encoder.encode_whole(text)) // 4
+        for a, b, new in sorted(edit_counts.redactions(text), reverse=True):
+            text = text[:a] + new + text[b:]
+        assert r.n_tokens == len(encoder.encode_whole(text)) // 4
         assert r.reencoded_chars <= 1700 * r.n_edits and (r.n_edits > 0 or r.n_before == r.n_tokens)
 
 
+def test_op10_redactions_take_linear_time():
+    import time
+
+    text = "a.b@example.com +1 (555) 123-4567 " * 40_000
+    began = time.perf_counter()
+    assert len(edit_counts.redactions(text)) == 80_000
+    assert time.perf_counter() - began < 5
+
+
 def test_op10_odd_inputs(spark):
     trees = edit_counts.build_trees(odd(spark), BYTES)
     assert edit_counts.update_trees(trees, BYTES, edit_counts.redactions).count() == len(ODD) + 1
