@@ -126,7 +126,9 @@ def fit(training: DataFrame, dims: int = DIMS, clusters: int = CLUSTERS, sample:
     each = max(4 * clusters, sample // len(sizes))
     # the rows of least hash, by a share that gives about ``each`` a language
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))) for lang, n in sizes.items()])
-    place = F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 11).cast("double") / F.lit(2.0**53)
+    place = F.shiftrightunsigned(F.xxhash64("key", "text", F.lit("sample")), 11).cast("double") / F.lit(2.0**53)
+    most = 2 * each * len(sizes)  # what reaches the driver; only equal rows tie
+    last = training.where(place < share).select(place.alias("p")).orderBy("p").limit(most).agg(F.max("p")).first()[0]
     shared = spark.sparkContext.broadcast(idf)
 
     def vectors(batches):
@@ -140,10 +142,12 @@ def fit(training: DataFrame, dims: int = DIMS, clusters: int = CLUSTERS, sample:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "v"])
 
     drawn: dict[str, list[np.ndarray]] = {}
-    for r in training.where(place < share).select("text", "lang").mapInArrow(vectors, "lang string, v binary").limit(2 * each * len(sizes)).collect():
+    chosen = training.where((place < share) & (place <= F.lit(last))).select("text", "lang")
+    for r in chosen.mapInArrow(vectors, "lang string, v binary").limit(most).collect():
         drawn.setdefault(r.lang, []).append(np.frombuffer(bytes(r.v), np.float32).astype(float))
     langs, starts = [], []
     for lang in sorted(drawn):
+        drawn[lang].sort(key=lambda v: v.tobytes())  # whatever order they arrived in
         for c in kmeans(np.stack(drawn[lang]), clusters):
             langs.append(lang)
             starts.append(c)

@@ -538,3 +538,22 @@ def test_op1_odd_inputs(spark):
     assert decontaminate.leaks(odd(spark), bench).count() == 0
     assert decontaminate.leaks(empty(spark), bench).count() == 0
     assert decontaminate.leaks(odd(spark), bench.limit(0)).count() == 0
+
+
+def test_op9_against_brute_force(spark, docs, texts):
+    """The model's document frequencies, and each prediction as the largest of all cosines; two fits agree."""
+    training = docs.where(~centroids.held_out()).select(docs.doc_id.alias("key"), "text", "lang").where("lang is not null")
+    model, again = centroids.fit(training), centroids.fit(training.repartition(3))
+    assert model.langs == again.langs and np.allclose(model.centroids, again.centroids, atol=1e-6)
+    own = [c for r in training.collect() if (c := centroids.counts(r.text, len(model.idf))) is not None]
+    df = np.sum([c > 0 for c in own], axis=0)
+    assert np.allclose(model.idf, np.log((1 + len(own)) / (1 + df)) + 1)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1)
+    for r in centroids.predict(docs.withColumn("held_out", centroids.held_out()), model).collect():
+        c = centroids.counts(texts[r.doc_id], len(model.idf))
+        if c is None:
+            assert r.lang_pred == "und"
+            continue
+        v = np.sqrt(c) * model.idf
+        cosines = [float(v @ m / np.linalg.norm(v)) for m in model.centroids]
+        assert r.lang_pred == model.langs[int(np.argmax(cosines))] and abs(r.score - max(0.0, min(1.0, max(cosines)))) < 1e-6
