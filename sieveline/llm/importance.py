@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import VECTOR_ROWS, cut, ship, stage, sum_vectors, vector_rows
+from .tokens import release
 
 BUCKETS = 1 << 16
 MAX_TARGET = 20_000
@@ -49,7 +50,7 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return h
@@ -83,6 +84,7 @@ def models(docs: DataFrame, ids: list[int], buckets: int = BUCKETS) -> tuple[np.
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(ids))  # at most MAX_TARGET ids
 
     def run(batches):
+        release()
         raw, target = np.zeros(buckets), np.zeros(buckets)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -93,6 +95,7 @@ def models(docs: DataFrame, ids: list[int], buckets: int = BUCKETS) -> tuple[np.
                         np.add.at(model, grams, 1.0)
                     else:
                         model += counts
+        _HASHES.clear()  # a reused worker keeps nothing for other operators' tasks
         yield vector_rows({0: raw, 1: target})
 
     sums = sum_vectors(docs.select("doc_id", "text").mapInArrow(run, VECTOR_ROWS), {0: buckets, 1: buckets})
@@ -115,6 +118,7 @@ def weights(docs: DataFrame, ratios: np.ndarray, ids: list[int]) -> DataFrame:
     rows = [f for f in docs.schema.fields if f.name == "row"]
 
     def run(batches):
+        release()
         table, unseen = shared.value
         for batch in batches:
             n, w, crc = [], [], []
@@ -126,6 +130,7 @@ def weights(docs: DataFrame, ratios: np.ndarray, ids: list[int]) -> DataFrame:
                 crc.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
             columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(crc, pa.int64()), pa.array([i in unseen for i in batch.column(0).to_pylist()], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=["doc_id", "n_grams", "weight", "crc", "unseen", *batch.schema.names[2:]])
+        _HASHES.clear()
 
     schema = StructType([*StructType.fromDDL("doc_id long, n_grams long, weight double, crc long, unseen boolean").fields, *rows])
     return docs.select("doc_id", "text", *[f.name for f in rows]).mapInArrow(run, schema)

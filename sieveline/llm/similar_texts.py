@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, only, ship, shuffle_partitions, stage
 from .simhash_gray import bit_votes, components, index_links, visits
+from .tokens import release
 
 SEED = 42
 SHINGLE = 5
@@ -62,7 +63,7 @@ class _Codes(dict):
     """Hash of a word; a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return h
@@ -128,6 +129,7 @@ def signatures(docs: DataFrame, size: int, bits: int, tables: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -135,6 +137,7 @@ def signatures(docs: DataFrame, size: int, bits: int, tables: int) -> DataFrame:
                 marks = [patterns(s, bits, tables).view(np.int64) if len(s) else [] for s in sets]
                 columns = [[_node(s) for s in sets], [len(s) for s in sets], marks]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+        _CODES.clear()  # a reused worker keeps nothing for other operators' tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, marks array<long>")
 
@@ -166,6 +169,7 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 sets = [shingles(t.as_py(), size) for t in batch.column(0).slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+        _CODES.clear()
 
     return docs.select("text").mapInArrow(run, "node long, hashes binary")
 

@@ -133,6 +133,11 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _LOADED[path]
 
 
+def release() -> None:
+    """Drop a reused worker's tokenizer and its caches; operators with caches of their own begin with this."""
+    _LOADED.clear()
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary file lies; pass another path to use your own."""
     import public_tokenizers
