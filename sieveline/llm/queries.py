@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, divergence, divergence_sql, edit_counts, html_region, hypershuffle, importance, kk_pack, rans, simhash_gray
+from . import centroids, decontaminate, divergence, divergence_sql, edit_counts, html_region, hypershuffle, importance, kk_pack, minhash, prefix_trie, rans, simhash_gray, spelling
 from .common import stage
 from .tokens import vocabulary_path
 
@@ -75,6 +75,23 @@ def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "n_before", "n_edits", "n_tokens", "reencoded_chars", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stage(prefix_trie.turns(table(spark, sf_dir, "conversations")), "numbered")
+    most, conv = 5, F.col("conv_id")
+    lent = F.crc32(conv.cast("string")) % (most + 1)
+    rebuilt = stage(prefix_trie.spliced(rows, conv - F.pmod(conv, F.lit(100)), lent, most), "rebuilt")
+    return prefix_trie.trie(rebuilt, rows.select("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_latent_decontamination": op1_latent_decontamination,
     "op2_rans_tokens": op2_rans_tokens,
@@ -86,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_nearest_centroid": op9_nearest_centroid,
     "op10_edit_token_counts": op10_edit_token_counts,
+    "op11_deletion_variants": op11_deletion_variants,
+    "op12_one_permutation_minhash": op12_one_permutation_minhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_distribution_divergence": divergence_sql.oracle()}
