@@ -55,7 +55,7 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
 
 def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of item numbers, none over ``capacity``; no size may be over it."""
-    windows = max(1, -(-sum(sizes) // capacity))
+    windows = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))  # two over half never share one
     while True:
         packed = difference(sizes, windows)
         if all(sum(sizes[i] for i in w) <= capacity for w in packed):

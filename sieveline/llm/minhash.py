@@ -9,9 +9,9 @@ band share a bucket.
 
 A bucket of m texts yields m - 1 candidate edges, a star around its least node, and
 texts with the same node in several buckets share it. Candidates are confirmed on the
-full sets (``set_links.star_links``). Where a bucket then still holds several components
+full sets (``set_links.linked``). Where a bucket then still holds several components
 among the nodes that aren't its hub, a second star is drawn there, and what stays open
-after that is checked across components only (``set_links.cross_links``), so that no
+after that is checked across components only, so that no
 link between texts of one bucket is lost and no group emits all its pairs.
 
 A pair similar by s shares no bucket with probability (1 - s**ROWS)**BANDS: 2e-5 at 0.85.
@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, only, ship, stage
-from .set_links import close, cross_links, open_groups, star_links
+from .set_links import linked
 from .similar_texts import _CODES, _mixed, _node, shingle_sets, shingles
-from .simhash_gray import components
 from .tokens import release
 
 BANDS, ROWS = 28, 7
@@ -97,22 +96,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = slim.join(ids, slim.doc_id == ids["_id"], "left_semi").unionByName(slim.where("doc_id is null"))
     sets = stage(shingle_sets(texts, size).dropDuplicates(["node"]), "shingle-sets")
 
-    def stars(groups: DataFrame) -> DataFrame:
-        fit = groups.where("node <> hub").where(close("n", "hub_n", percent))
-        return star_links(fit.select("hub", "node").distinct(), sets, percent)
-
-    edges = cut(stars(busy))
-    roots = cut(components(edges))
-    rest = open_groups(busy, roots)
-    if not rest.isEmpty():  # a second star, around the least node but the hub
-        second = rest.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root"))
-        again = cut(rest.join(second, "key"))
-        edges = cut(edges.unionByName(stars(again.where("root <> hub_root"))))
-        roots = cut(components(edges))
-        rest = open_groups(again.select("key", "node", "n", "hub"), roots)
-    if not rest.isEmpty():
-        edges = cut(edges.unionByName(cross_links(rest, sets, percent)))
-        roots = cut(components(edges))
+    roots = linked(busy, sets, percent)
     labelled = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(lowest, "root").select(F.col("node").alias("_node"), "component_id")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship, shuffle_partitions
+from .simhash_gray import components
 
 #: Nodes in a part of a star; bytes of sets in a block.
 STAR, BLOCK_BYTES = 500, 4 << 20
@@ -161,3 +162,33 @@ def open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
     own = others.join(roots.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     split = own.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_top")).where("_low < _top").select("key")
     return cut(own.join(split, "key"))
+
+
+def linked(busy: DataFrame, sets: DataFrame, percent: int, merge: bool = False) -> DataFrame:
+    """``node, root`` of all nodes with a link: two stars a key, then what they leave open across components.
+
+    ``busy``: ``key, node, n, hub, hub_n``, the hub being one of the key's nodes. ``merge``: keys
+    that stay open are put together where they share nodes, for nodes that lie in many keys.
+    """
+
+    def stars(groups: DataFrame) -> DataFrame:
+        fit = groups.where("node <> hub").where(close("n", "hub_n", percent))
+        return star_links(fit.select("hub", "node").distinct(), sets, percent)
+
+    edges = cut(stars(busy))
+    roots = cut(components(edges))
+    rest = open_groups(busy, roots)
+    if rest.isEmpty():
+        return roots
+    second = rest.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root"))
+    again = cut(rest.join(second, "key"))
+    edges = cut(edges.unionByName(stars(again.where("root <> hub_root"))))
+    roots = cut(components(edges))
+    rest = open_groups(again.select("key", "node", "n", "hub"), roots)
+    if rest.isEmpty():
+        return roots
+    if merge:
+        held = components(rest.select(F.col("node").alias("a"), F.col("key").alias("b"))).withColumnsRenamed({"node": "_of", "root": "_held"})
+        joined = rest.select("node", "n", "root").distinct().join(held, F.col("node") == F.col("_of"), "left")
+        rest = cut(joined.select(F.coalesce("_held", "node").alias("key"), "node", "root", "n"))
+    return cut(components(edges.unionByName(cross_links(rest, sets, percent))))

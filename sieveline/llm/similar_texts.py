@@ -12,12 +12,11 @@ short ones, each with a Gray-order index of its own (``simhash_gray``):
 2. Each table's index links nodes whose patterns differ in at most ``LIMIT`` bits and
    whose extra bits in at most ``EXTRA_LIMIT``. A component of a table's links is a
    key of its nodes.
-3. Every link is checked on the sets. A node is checked against the least node of
-   its keys, then against the least node of each key. Keys that still hold several
+3. Every link is checked on the sets (``set_links.linked``): a node against the least
+   node of its keys, then of what is left of a key; keys that still hold several
    components are put together where they share nodes, so each node is held once, and
-   travel with their sets in blocks of ``BLOCK`` nodes; a task checks every pair of a
-   block, or of two, between components. Before that, rows grow with a group's size,
-   not its square.
+   checked across components in blocks bounded by bytes. Before that, rows grow with a
+   group's size, not its square.
 4. Components come from ``simhash_gray.components``.
 
 Words are those of ``simhash_gray.fingerprint``. A text of fewer words than a
@@ -37,22 +36,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, ship, shuffle_partitions, stage
+from .common import cut, only, ship, stage
+from .set_links import linked
 from .simhash_gray import bit_votes, components, index_links, visits
 from .tokens import release
 
 SEED = 42
 SHINGLE = 5
-LEAST = 0.8
+LEAST, PERCENT = 0.8, 80
 LIMIT = 2
 EXTRA, EXTRA_LIMIT = 64, 24
 #: Least probability of a pair at ``LEAST`` to share no key; unrelated patterns that a pattern may link to on average.
 MISS, CHANCE = 0.002, 1 / 32
-#: Texts in a node of a table's index, and in a block of a key.
-NODE_TEXTS, BLOCK = 1 << 20, 5000
-#: Share of ``WIDE_WORDS`` words of further bits in which a pair of one block may differ to be checked on the sets: five standard
-#: deviations above that of a pair similar by 0.8, and more for small sets, whose bits are less regular.
-WIDE_WORDS, WIDE, WIDE_SMALL, SMALL = 60, 0.182, 0.3, 64
+#: Texts in a node of a table's index.
+NODE_TEXTS = 1 << 20
 _RNG = np.random.default_rng(SEED)
 _ODD = _RNG.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 64, 1024, np.uint64)
@@ -174,126 +171,22 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, hashes binary")
 
 
-def _is_similar(p: np.ndarray, q: np.ndarray, least: float) -> bool:
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return both >= least * (len(p) + len(q) - both) - 1e-9
-
-
-def similar(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets are similar enough."""
-    ship(pairs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                keep.append(_is_similar(p, q, least))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
-
-
-def _links(nodes: np.ndarray, roots: np.ndarray, block: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links between components among the nodes of one key, those that look most similar first.
-
-    With two blocks, those between them.
-    """
-    wide = np.array([patterns(s, 64, WIDE_WORDS) for s in sets])
-    sizes, part = np.array([len(s) for s in sets]), roots.copy()
-    most = np.where(sizes < SMALL, WIDE_SMALL, WIDE)
-    crossing, out = block.min() != block.max(), []
-    for i in range(1, len(nodes)):
-        j = np.flatnonzero((part[:i] != part[i]) & (np.minimum(sizes[:i], sizes[i]) >= np.maximum(sizes[:i], sizes[i]) * least - 1e-9))
-        if crossing:
-            j = j[block[j] != block[i]]
-        apart = np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1) / (64 * wide.shape[1])
-        likely = apart <= np.maximum(most[j], most[i])
-        for x in j[likely][np.argsort(apart[likely], kind="stable")].tolist():
-            if part[x] != part[i] and _is_similar(sets[x], sets[i], least):
-                out.append((int(nodes[x]), int(nodes[i])))
-                part[part == part[x]] = part[i]
-    return out
-
-
-def linked_within_keys(rest: DataFrame, sets: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` between components (``root``) among the nodes of each ``key``.
-
-    A key of more than ``block`` nodes is dealt into blocks, and each two of them, or
-    one, are checked together; a task holds two blocks at most.
-    """
-    ship(rest.sparkSession)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def finish(held):
-        nodes, roots, blocks = (np.array([h[i] for h in held]) for i in range(3))
-        found = _links(nodes, roots, blocks, [h[3] for h in held], least) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
-
-    def run(batches):
-        last, held = None, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                for key, low, high, own, node, root, raw in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns)):
-                    if (key, low, high) != last and held:
-                        yield finish(held)
-                        held = []
-                    last = key, low, high
-                    held.append((node, root, own, np.frombuffer(raw, np.uint64)))
-        if held:
-            yield finish(held)
-
-    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    dealt = rest.join(counts, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pairs = dealt.select("key", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "_own", "node", "root")
-    rows = pairs.join(sets, "node").select("key", "_low", "_high", "_own", "node", "root", "hashes")
-    return rows.repartition(shuffle_partitions(rest.sparkSession), "key", "_low", "_high").sortWithinPartitions("key", "_low", "_high", "node").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """``doc_id, node, component_id``: the smallest id reachable over pairs similar by at least ``least``."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, node, component_id``: the smallest id reachable over pairs of sets with 100 * shared >= ``percent`` * united."""
     slim = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = slim.count()
-    bits, tables = plan(total, least)
+    bits, tables = plan(total, percent / 100)
     marks = cut(signatures(slim, size, bits, tables))
     nodes = cut(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("marks").alias("marks")))
     marks = marks.select("doc_id", "node")
     found = table_keys(nodes.where("first_id is not null and n > 0"), total, tables)
     nodes = nodes.drop("marks")
-    banded = found.join(nodes.select("node", "n"), "node")
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_top"), F.min(F.struct("node", "n"))["n"].alias("hub_n")).where("hub < _top").drop("_top")
+    banded = found.join(nodes.select("node", "n"), "node").distinct()
+    hubs = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.max("node").alias("_top")).where("h.node < _top").select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     busy = cut(banded.join(hubs, "key"))
     ids = nodes.join(busy.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("_id"))
     sets = stage(shingle_sets(slim.join(ids, slim.doc_id == ids["_id"], "left_semi"), size).dropDuplicates(["node"]), "shingle-sets")
-
-    def close(a: str, b: str):
-        """What two sets' sizes allow."""
-        return F.least(a, b) >= F.greatest(a, b) * F.lit(least) - F.lit(1e-9)
-
-    def rooted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Roots, and the rows of keys that hold several components."""
-        roots = cut(components(edges))
-        own = busy.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = own.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_top")).where("_low < _top").select("key", "_low")
-        return roots, cut(own.join(split, "key"))
-
-    fit = busy.where("hub <> node").where(close("n", "hub_n"))
-    edges = cut(similar(fit.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, least))
-    roots, rest = rooted(edges)
-    if not rest.isEmpty():
-        of_hub = rest.where("node = hub").select("key", F.col("root").alias("hub_root"))
-        pairs = rest.where("hub <> node").where(close("n", "hub_n")).join(of_hub, "key").where("root <> hub_root")
-        edges = cut(edges.unionByName(similar(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least)))
-        roots, rest = rooted(edges)
-    if not rest.isEmpty():
-        held = components(rest.select(F.col("node").alias("a"), F.col("key").alias("b"))).withColumnRenamed("node", "_of").withColumnRenamed("root", "_held")
-        joined = rest.select("node", F.col("root").alias("own")).distinct().join(held, F.col("node") == held["_of"], "left")
-        once = cut(joined.select(F.coalesce("_held", "node").alias("key"), "node", F.col("own").alias("root")))
-        edges = cut(edges.unionByName(linked_within_keys(once, sets, least)))
-        roots = cut(components(edges))
+    roots = linked(busy, sets, percent, merge=True)
     labelled = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = labelled.join(lowest, "root").select(F.col("node").alias("_node"), "component_id")
