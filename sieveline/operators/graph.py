@@ -39,7 +39,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """``path, depth`` of all nodes within ``depth`` hops of ``seeds(path)``, seeds left out."""
-    links = edges.select(F.col("source_file").alias("a"), F.col("target_file").alias("b")).distinct() if directed else both_ways(edges)
+    links = cut(edges.select(F.col("source_file").alias("a"), F.col("target_file").alias("b")).distinct() if directed else both_ways(edges))  # once for all levels
     seen = seeds.select("path", F.lit(0).alias("depth")).distinct()
     front = seen
     for hop in range(1, depth + 1):
@@ -58,7 +58,7 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, decay: float = DECAY,
     score, rank``; where a path occurs twice the value to beat is that of its last
     row, while all rows spread. Of the new paths the best ``max_paths`` stay.
     """
-    links = both_ways(edges)
+    links = cut(both_ways(edges))  # once for all levels
     last = Window.partitionBy("path").orderBy(F.col("rank").desc())
     best = seeds.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("path", "score", F.lit(0).alias("depth"))
     front = seeds.select("path", "score")
@@ -109,8 +109,8 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 
 def hubs(edges: DataFrame, n: int = HUB_SEEDS) -> DataFrame:
-    """Nodes of largest out-degree, by name where equal."""
-    return degrees(edges).orderBy(F.col("out_degree").desc(), "node").limit(n)
+    """Of the nodes that have outgoing edges those of largest out-degree, by name where equal."""
+    return degrees(edges).where("out_degree > 0").orderBy(F.col("out_degree").desc(), "node").limit(n)
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = WALK_DEPTH, undirected: bool = True, max_nodes: int = MAX_NODES) -> tuple[list[str], bool]:

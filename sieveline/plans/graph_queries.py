@@ -16,10 +16,10 @@ def _(spark, t):
     return g.adjacency(edges(t)).select("source_file", F.array_join("targets", ",").alias("targets"))
 
 
-@query("G13_bfs", f"""WITH RECURSIVE {EDGES_SQL}, {_TWO}, r(path, depth) AS (SELECT 'pkg1/', 0 UNION SELECT u.b, r.depth + 1 FROM r JOIN u ON u.a = r.path WHERE r.depth < 3)
+@query("G13_bfs", f"""WITH RECURSIVE {EDGES_SQL}, {_TWO}, r(path, depth) AS (SELECT 'pkg1/', 0 UNION SELECT u.b, r.depth + 1 FROM r JOIN u ON u.a = r.path WHERE r.depth < 6)
  SELECT path, min(depth) AS depth FROM r GROUP BY path HAVING min(depth) > 0""")
 def _(spark, t):
-    return g.bfs(edges(t), spark.createDataFrame([("pkg1/",)], "path string"), 3)
+    return g.bfs(edges(t), spark.createDataFrame([("pkg1/",)], "path string"), 6)
 
 
 @query("G14_expand", f"""WITH RECURSIVE {EDGES_SQL}, {_TWO}, r(path, depth, score) AS (SELECT 'pkg1/', 0, 1.0::DOUBLE UNION SELECT u.b, r.depth + 1, r.score * 0.85 FROM r JOIN u ON u.a = r.path WHERE r.depth < 2)
@@ -49,13 +49,11 @@ def _(spark, t):
     return g.degrees(g.build(edges(t)), "source", "target")
 
 
-@query("G17_shortest_path", f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT source_file AS s, target_file AS t FROM edges UNION SELECT regexp_replace(source_file, '[^/]*$', ''), source_file FROM edges), goal AS (SELECT max(target_file) AS g FROM edges), start AS (SELECT min(source_file) AS f FROM edges),
- r(node, way, depth) AS (SELECT f, [f], 0 FROM start UNION ALL SELECT b.t, list_append(r.way, b.t), r.depth + 1 FROM r JOIN b ON b.s = r.node WHERE r.depth < 3 AND NOT list_contains(r.way, b.t) AND r.node <> (SELECT g FROM goal))
- SELECT way[i + 1] AS node, i AS place FROM (SELECT way FROM r, goal WHERE node = g ORDER BY depth, way LIMIT 1), LATERAL (SELECT unnest(range(len(way))) AS i)""")
+@query("G17_shortest_path", f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT source_file AS s, target_file AS t FROM edges UNION SELECT regexp_replace(source_file, '[^/]*$', ''), source_file FROM edges),
+ r(node, way, depth) AS (SELECT 'pkg1/f2.go', ['pkg1/f2.go'], 0 UNION ALL SELECT b.t, list_append(r.way, b.t), r.depth + 1 FROM r JOIN b ON b.s = r.node WHERE r.depth < 3 AND NOT list_contains(r.way, b.t) AND r.node <> 'pkg12/')
+ SELECT way[i + 1] AS node, i AS place FROM (SELECT way FROM r WHERE node = 'pkg12/' ORDER BY depth, way LIMIT 1), LATERAL (SELECT unnest(range(len(way))) AS i)""")
 def _(spark, t):
-    e = edges(t)
-    ends = e.agg(F.min("source_file").alias("f"), F.max("target_file").alias("g")).first()
-    way, _ = g.shortest_path(g.build(e), ends.f, ends.g)
+    way, _ = g.shortest_path(g.build(edges(t)), "pkg1/f2.go", "pkg12/")
     return spark.createDataFrame([(n, i) for i, n in enumerate(way)], "node string, place long")
 
 
@@ -66,16 +64,16 @@ def _(spark, t):
     return nodes.select("path", "depth")
 
 
-@query("G19_impact", f"""WITH RECURSIVE {EDGES_SQL}, r(path, depth) AS (SELECT 'pkg3/f3.go', 0 UNION SELECT e.source_file, r.depth + 1 FROM r JOIN edges e ON e.target_file = regexp_replace(r.path, '[^/]*$', '') WHERE r.depth < 3)
+@query("G19_impact", f"""WITH RECURSIVE {EDGES_SQL}, r(path, depth) AS (SELECT 'pkg3/f6.go', 0 UNION SELECT e.source_file, r.depth + 1 FROM r JOIN edges e ON e.target_file = regexp_replace(r.path, '[^/]*$', '') WHERE r.depth < 3)
  SELECT path, min(depth) AS depth FROM r GROUP BY path HAVING min(depth) > 0""")
 def _(spark, t):
-    return g.impact(edges(t), "pkg3/f3.go", 3)
+    return g.impact(edges(t), "pkg3/f6.go", 3)
 
 
 @query("G20_callers", f"""WITH {EDGES_SQL}, d AS (SELECT DISTINCT source_file AS path FROM edges WHERE target_file = 'pkg3/'), i AS (SELECT DISTINCT source_file AS path FROM edges WHERE target_file IN (SELECT regexp_replace(path, '[^/]*$', '') FROM d))
- SELECT path, 'direct' AS kind FROM d UNION ALL SELECT path, 'transitive' FROM i WHERE path NOT IN (SELECT path FROM d) AND path <> 'pkg3/f3.go'""")
+ SELECT path, 'direct' AS kind FROM d UNION ALL SELECT path, 'transitive' FROM i WHERE path NOT IN (SELECT path FROM d) AND path <> 'pkg3/f6.go'""")
 def _(spark, t):
-    return g.callers(edges(t), "pkg3/f3.go")
+    return g.callers(edges(t), "pkg3/f6.go")
 
 
 @query("G21_neighbors", f"WITH {EDGES_SQL} SELECT DISTINCT target_file AS node, 'imports' AS kind FROM edges WHERE source_file = 'pkg3/' UNION SELECT source_file, 'imported_by' FROM edges WHERE target_file = 'pkg3/'")

@@ -39,5 +39,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for family in ("usage", "joins", "scalars", "search", "graph", "ingest", "evaluation", "formats", "language", "state"):
+for family in ("usage", "joins", "scalars", "search", "graph", "ingest", "evaluation", "formats", "language", "state", "temporal"):
     importlib.import_module(f"sieveline.plans.{family}_queries")

@@ -75,12 +75,12 @@ def _(spark, t):
     return r.with_rank(t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), F.col("l_extendedprice").desc(), F.col("l_linenumber"), partition=["l_orderkey"]).drop("l_extendedprice")
 
 
-_RES = "res AS (SELECT l_suppkey % 25 AS project, l_partkey % 50 AS path, l_linenumber AS start_line, l_linenumber AS end_line, l_extendedprice AS score, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS source_rank FROM lineitem)"
+_RES = "res AS (SELECT l_suppkey AS project, l_partkey % 50 AS path, l_linenumber AS start_line, l_linenumber AS end_line, l_extendedprice AS score, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS source_rank FROM lineitem)"
 
 
 def results(t):
     li = t("lineitem")
-    return li.select((F.col("l_suppkey") % 25).alias("project"), (F.col("l_partkey") % 50).alias("path"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.col("l_extendedprice").alias("score"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("source_rank"))
+    return li.select(F.col("l_suppkey").alias("project"), (F.col("l_partkey") % 50).alias("path"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.col("l_extendedprice").alias("score"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("source_rank"))
 
 
 @query("W10_fuse_projects", f"""WITH {_RES}, k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY source_rank) AS r FROM res)

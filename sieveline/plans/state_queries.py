@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import codeintel, evaluation, graph, ranking, usage, writepath
+from ..operators.lineage import fresh_path
 from ..streaming import continuous
 from .evaluation_queries import _METRICS, _RUN, _metrics, _tables
 from .registry import query
@@ -84,10 +86,15 @@ def _(spark, t):
     return graph.bfs(edges(t), spark.createDataFrame([("pkg1/",), ("pkg2/",)], "path string"), 1).select("path")
 
 
-@query("J15_symbol_changes", "SELECT 'a.go' AS path, 'func:F' || p_partkey AS key, 'changed' AS change FROM part WHERE p_partkey % 2 = 0")
+@query("J15_symbol_changes", """WITH l AS (SELECT 'f' || l_orderkey || '.go' AS path, 'func:F' || l_partkey AS key, max(l_linenumber % 4) AS m, min(l_linenumber % 4) AS k FROM lineitem GROUP BY ALL)
+ SELECT path, key, CASE WHEN m = 0 THEN 'removed' WHEN k = 3 THEN 'new' ELSE 'changed' END AS change FROM l WHERE m = 0 OR k = 3 OR (m = k AND m = 2)""")
 def _(spark, t):
-    body = lambda suffix: F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("func F"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, suffix).otherwise("() {")))), "\n}\n")
-    old, new = (t("part").agg(body(x).alias("content")).withColumn("path", F.lit("a.go")) for x in ("() {", "(x int) {"))
+    """A file for each order, a declaration for each line; the newer version lacks some, has others, and others with another signature."""
+    li = t("lineitem").groupBy(F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit(".go")).alias("path"), "l_partkey").agg(F.max(F.col("l_linenumber") % 4).alias("m"), F.min(F.col("l_linenumber") % 4).alias("k"))
+    name = F.concat(F.lit("func F"), F.col("l_partkey").cast("string"))
+    version = lambda rows, text: rows.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(text)), "\n}\n").alias("content"))  # noqa: E731  a file's lines, as many as an order has
+    old = version(li.where("k <> 3"), F.concat(name, F.lit("() {")))
+    new = version(li.where("m <> 0"), F.concat(name, F.when(F.expr("m = k and m = 2"), "(x int) {").otherwise("() {")))
     return codeintel.symbol_diff(old, new).select("path", "key", "change")
 
 
@@ -116,12 +123,31 @@ for _name in ("mrr", "precision"):
         return _metrics(spark, t).select("qid", name)
 
 
-@query("V7_gate", "SELECT unnest(['ndcg', 'p95_ms', 'failed']) AS violated")
+_BY_PRICE = _RUN.replace("ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice", "ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity")
+
+
+def _summary_sql(run: str, latency: str, routes: str) -> str:
+    return f"""(WITH {run}, {_METRICS}, o AS (SELECT qid, {latency} AS latency_ms, {routes} AS route, l_tax = 0.08 AS failed, ndcg, mrr, precision, recall FROM lineitem JOIN m ON qid = l_suppkey),
+ p AS (SELECT qid, median(latency_ms) AS lat, avg(ndcg) AS ndcg, avg(mrr) AS mrr, avg(precision) AS precision, avg(recall) AS recall FROM o WHERE NOT failed GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY lat) AS rn, count(*) OVER () AS n FROM p)
+ SELECT avg(ndcg) AS ndcg, avg(mrr) AS mrr, avg(precision) AS precision, avg(recall) AS recall, min(CASE WHEN rn >= ceil(0.95 * n) THEN lat END) AS p95, (SELECT count(*) FROM o WHERE failed) AS failed, (SELECT count(*) FROM o WHERE route <> 'vector') AS fallbacks FROM r)"""
+
+
+@query("V7_gate", f"""WITH a AS {_summary_sql(_RUN, "l_quantity", "'vector'")}, b AS {_summary_sql(_BY_PRICE, "l_quantity * 40", "CASE WHEN l_linenumber = 7 THEN 'keyword' ELSE 'vector' END")}
+ SELECT unnest(list_filter([CASE WHEN a.ndcg - b.ndcg > 0.01 THEN 'ndcg' END, CASE WHEN a.mrr - b.mrr > 0.01 THEN 'mrr' END, CASE WHEN a.precision - b.precision > 0.01 THEN 'precision' END, CASE WHEN a.recall - b.recall > 0.01 THEN 'recall' END,
+ CASE WHEN b.p95 - a.p95 > 50 THEN 'p95_ms' END, CASE WHEN b.failed > 0 THEN 'failed' END, CASE WHEN b.fallbacks > 0 THEN 'fallbacks' END], lambda x: x IS NOT NULL)) AS violated FROM a, b""")
 def _(spark, t):
-    names = "ndcg double, mrr double, precision double, recall double, p95 double, failed long, fallbacks long"
-    a = spark.createDataFrame([(0.5, 0.4, 0.3, 0.2, 100.0, 0, 0)], names)
-    b = spark.createDataFrame([(0.48, 0.395, 0.31, 0.2, 151.0, 1, 0)], names)
-    return evaluation.gate(a, b)
+    """Two runs over all of lineitem: by order, and by price with slower answers and fallbacks."""
+    run, qrels = _tables(spark, t)
+    w = Window.partitionBy("l_suppkey").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    other = t("lineitem").select(F.col("l_suppkey").alias("qid"), (F.col("l_partkey") % 40).alias("file"), F.row_number().over(w).alias("rank")).where("rank <= 30")
+
+    def summary(run, slower, route):
+        m = evaluation.metrics(run, qrels, 10)
+        m = m.select("qid", *[F.round(c, 9).alias(c) for c in m.columns[1:]])
+        o = t("lineitem").select(F.col("l_suppkey").alias("qid"), F.col("l_linenumber").alias("run"), (F.col("l_quantity") * slower).alias("latency_ms"), route.alias("route"), (F.col("l_tax") == 0.08).alias("failed"))
+        return evaluation.summarize(o.join(m, "qid"))
+
+    return evaluation.gate(summary(run, 1, F.lit("vector")), summary(other, 40, F.when(F.col("l_linenumber") == 7, "keyword").otherwise("vector")))
 
 
 @query("A11_least_depth", f"""WITH RECURSIVE {EDGES_SQL}, {_TWO}, r(path, depth) AS (SELECT 'pkg7/', 0 UNION SELECT u.b, r.depth + 1 FROM r JOIN u ON u.a = r.path WHERE r.depth < 2), m AS (SELECT path, min(depth) AS depth FROM r GROUP BY path) SELECT depth, count(*) AS n FROM m WHERE depth > 0 GROUP BY depth""")
@@ -266,11 +292,9 @@ def _(spark, t):
 
 @query("T6_insights", "SELECT o_orderpriority AS query, count(*) AS match_count FROM orders GROUP BY 1")
 def _(spark, t):
-    from ..operators.lineage import shared_folder
-
-    path = f"{shared_folder(spark).rstrip('/')}/insights-{spark.sparkContext.applicationId}-{id(t)}"
+    path = fresh_path(spark, "insights")
     points = t("orders").groupBy(F.col("o_orderpriority").alias("query")).agg(F.count("*").alias("match_count")).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    for _ in range(2):  # a second append adds points and replaces none
-        continuous.append_insight(points, path)
+    for batch in (0, 1, 1):  # a second batch adds points; repeated, it replaces its own
+        continuous.append_insight(points, path, batch)
     back = spark.read.parquet(path)
     return back.groupBy("query").agg(F.max("match_count").alias("match_count"), F.count("*").alias("_n")).where("_n = 2").drop("_n")

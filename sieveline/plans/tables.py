@@ -25,14 +25,18 @@ def files(t) -> DataFrame:
     return t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
 
 
-EDGES_SQL = "edges AS (SELECT DISTINCT 'pkg' || CAST(l_suppkey % 40 AS VARCHAR) || '/f' || CAST(l_suppkey AS VARCHAR) || '.go' AS source_file, 'pkg' || CAST(l_partkey % 40 AS VARCHAR) || '/' AS target_file FROM lineitem)"
+EDGES_SQL = "edges AS (SELECT DISTINCT 'pkg' || CAST(l_suppkey // 2 AS VARCHAR) || '/f' || CAST(l_suppkey AS VARCHAR) || '.go' AS source_file, 'pkg' || CAST(l_suppkey // 2 + l_linenumber * (1 + l_partkey % 2) AS VARCHAR) || '/' AS target_file FROM lineitem)"
 
 
 def edges(t) -> DataFrame:
-    """Import edges: each supplier is a file, each part's directory is imported by its suppliers."""
+    """Import edges: each supplier is a file, two of them a directory; a file imports directories up to 14 numbers on.
+
+    Directories grow with the suppliers, no node has more than some 28 neighbours, and walks go as far as there are suppliers.
+    """
     li = t("lineitem")
-    source = F.concat(F.lit("pkg"), (F.col("l_suppkey") % 40).cast("string"), F.lit("/f"), F.col("l_suppkey").cast("string"), F.lit(".go"))
-    return li.select(source.alias("source_file"), F.concat(F.lit("pkg"), (F.col("l_partkey") % 40).cast("string"), F.lit("/")).alias("target_file")).distinct()
+    own = F.floor(F.col("l_suppkey") / 2)
+    source = F.concat(F.lit("pkg"), own.cast("string"), F.lit("/f"), F.col("l_suppkey").cast("string"), F.lit(".go"))
+    return li.select(source.alias("source_file"), F.concat(F.lit("pkg"), (own + F.col("l_linenumber") * (1 + F.col("l_partkey") % 2)).cast("string"), F.lit("/")).alias("target_file")).distinct()
 
 
 DEPS_SQL = "deps AS (SELECT DISTINCT 1 AS tenant_id, l_suppkey AS project_id, 'npm' AS ecosystem, 'part-' || CAST(l_partkey AS VARCHAR) AS normalized_name FROM lineitem)"

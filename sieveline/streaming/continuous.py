@@ -60,9 +60,9 @@ def changed_alerts(results: DataFrame, known: DataFrame) -> DataFrame:
     return now.join(known.select("query", F.col("fingerprint").alias("old")), "query", "left").where("old is null or old <> fingerprint").drop("old")
 
 
-def append_insight(counts: DataFrame, path: str) -> None:
-    """One point (``ts, query, match_count``) a query."""
-    counts.select("ts", "query", "match_count").write.mode("append").parquet(path)
+def append_insight(counts: DataFrame, path: str, batch: int) -> None:
+    """One point (``ts, query, match_count``) a query; a batch that is written again replaces its own points."""
+    counts.select("ts", "query", "match_count").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def over_limit(requests: DataFrame, limit: int = 200, watermark: str = "2 seconds") -> DataFrame:
