@@ -46,11 +46,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """A wide table written as compressed Parquet into the shared folder."""
+def stage(df: DataFrame, name: str, compression: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:
+    """A wide table written as compressed Parquet into the shared folder, in folders ``by`` columns if given."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -59,7 +59,7 @@ PRIOR_NAMES = {
     **dict.fromkeys("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split(), (0, 400)),
     **dict.fromkeys("cookie cookies consent gdpr popup modal newsletter subscribe subscription paywall overlay".split(), (0, 400)),
     **dict.fromkeys("comment comments disqus replies respond".split(), (0, 400)),
-    **dict.fromkeys("sidebar related recommended recommendations complementary".split(), (0, 400)),
+    **dict.fromkeys("side sidebar aside related recommended recommendations complementary".split(), (0, 400)),
     **dict.fromkeys("navbar nav navigation menu breadcrumb breadcrumbs pagination contentinfo footer masthead topbar".split(), (0, 400)),
     **dict.fromkeys("banner notice notices alert widget widgets rail share sharing social toolbar header search login signup reply discussion copyright pager".split(), (0, 40)),
 }
@@ -68,6 +68,8 @@ PRIOR_OTHER = {"link": (1, 20), "outside": (1, 80)}
 STRUCTURAL = frozenset("area articles bar block body box button buttons col column container div form group icon icons inner item items left link links list outer panel posts right row section stories text title top bottom wrap wrapper".split())
 #: Bounds on weights; link text alone doesn't outweigh an article, and paragraphs occur anywhere.
 HIGH, HIGH_TEXT, LOW, LOW_LINK = 3.0, 1.5, -6.0, -3.0
+#: The weight at which one word of a name is enough.
+DECISIVE = -5.0
 #: What a word scores without any evidence.
 BASE = 1.0
 #: What a tag costs at most and at least, and one of which no labels tell: less than a word of an article brings in.
@@ -236,7 +238,9 @@ def kinds(state: frozenset, tag: str, names: list[str], inside: bool) -> frozens
 def _evidence(weights: dict[str, float]) -> Callable:
     """The strongest evidence for and against, ``(best, worst)``, of the elements around a block.
 
-    An element's names count by their mean, unknown ones as 0, so one word among several says less.
+    An element's names count by their mean, unknown ones as 0, so one word among several says less;
+    but one that stands almost only outside main text (``DECISIVE``) decides alone, so a footer
+    named ``content-footer`` is a footer.
     """
 
     def fold(state: tuple, tag: str, names: list[str], inside: bool) -> tuple:
@@ -245,7 +249,8 @@ def _evidence(weights: dict[str, float]) -> Callable:
             w = weights["tag:" + tag]
             best, worst = max(best, w), min(worst, w)
         if names:
-            w = sum(weights.get("name:" + x, 0.0) for x in names) / len(names)
+            own = [weights.get("name:" + x, 0.0) for x in names]
+            w = min(own) if min(own) <= DECISIVE else sum(own) / len(own)
             best, worst = max(best, w), min(worst, w)
         return best, worst
 

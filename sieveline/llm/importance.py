@@ -5,10 +5,15 @@ text (labelled good and not toxic), one of all the raw text. A document's weight
 is the sum of the log ratios of the two over its n-grams, by the root of their
 number, so that long and short documents compare; ratios of buckets whose
 counts don't differ by more than ``SIGNIFICANT`` standard deviations are 0, so a
-few rare n-grams that the target hardly holds aren't lost among many usual ones. Gumbel noise turns the k largest into a sample without
-replacement that is proportional to the weights. ``k`` is the number of documents
-that weigh no less than all but ``SPARE`` of target documents do, counted on the
-half of the labelled target documents that the model isn't fitted on.
+few rare n-grams that the target hardly holds aren't lost among many usual ones.
+
+``gumbel_top_k`` draws: the k largest of weight / temperature plus Gumbel noise are a
+sample without replacement in which each next document is drawn with a probability
+proportional to the exponential of its weight / temperature. ``k`` may be given. Otherwise
+it is the number of documents that weigh no less than all but ``SPARE`` of target
+documents do, counted on the half of the labelled target documents that the model
+isn't fitted on. A filter wants a low temperature: weights of junk lie hundreds below
+those of clean text, and a high one would only drop clean documents by chance.
 
 The target model is fitted on at most ``MAX_TARGET`` labelled documents, those
 of least hash; the raw counts, weights and the selection cover every document.
@@ -37,8 +42,8 @@ from .tokens import release
 
 BUCKETS = 1 << 16
 MAX_TARGET = 20_000
-#: What weights are multiplied by beside the Gumbel noise: the greater, the nearer the sample is to the best.
-SPAN = 100.0
+#: What weights are divided by beside the Gumbel noise: the lower, the nearer the sample is to the best.
+TEMPERATURE = 0.01
 #: Pseudo-counts of each bucket in both models, on the scale of the target's counts.
 PSEUDO = 1.0
 #: Standard deviations by which a bucket's counts must differ to say anything.
@@ -155,10 +160,25 @@ def kth_largest(scores: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 8, max_target: int = MAX_TARGET, whole_rows: bool = False) -> DataFrame:
+def noisy(weighed: DataFrame, seed: int, temperature: float) -> DataFrame:
+    """``score``: the weight, tempered, with Gumbel noise that the row's ``doc_id`` and ``crc`` decide."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "crc"), 11).cast("double") + 0.5) / F.lit(2.0**53)
+    return weighed.withColumn("score", F.col("weight") / temperature - F.log(-F.log(u)))
+
+
+def gumbel_top_k(weighed: DataFrame, k: int, seed: int = 8, temperature: float = 1.0) -> DataFrame:
+    """``kept``: a sample of ``k`` rows (all, if there are fewer; tied ones too) of ``doc_id, crc, weight`` rows."""
+    scores = cut(noisy(weighed, seed, temperature))
+    n = scores.count()
+    least = -math.inf if k >= n else math.inf if k <= 0 else kth_largest(scores, "score", k)
+    return scores.withColumn("kept", F.col("score") >= F.lit(least))
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 8, max_target: int = MAX_TARGET, k: int | None = None, temperature: float = TEMPERATURE, whole_rows: bool = False) -> DataFrame:
     """``doc_id, n_grams, weight, score, kept`` for every row of ``docs``.
 
-    ``labels``: ``doc_id, quality, toxic``. ``whole_rows`` adds ``row``, a struct
+    ``labels``: ``doc_id, quality, toxic``. ``k``: how many to keep, else it follows from
+    unseen target documents. ``whole_rows`` adds ``row``, a struct
     of the input's columns, so that a filter needs no join.
     """
     row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if whole_rows else []
@@ -166,11 +186,12 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     drawn = target_ids(slim, labels, max_target)
     ids, unseen = drawn[::2], drawn[1::2]
     ratios = log_ratios(*models(slim, ids)) if ids else np.zeros(BUCKETS)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "crc"), 11).cast("double") + 0.5) / F.lit(2.0**53)
-    weighed = weights(slim, ratios, unseen).withColumn("score", F.col("weight") * SPAN - F.log(-F.log(u)))
+    weighed = noisy(weights(slim, ratios, unseen), seed, temperature)
     scores = stage(weighed, "scores") if whole_rows else cut(weighed)
     least = -math.inf
-    if unseen:
+    if k is not None:
+        least = math.inf if k <= 0 else kth_largest(scores, "score", k) if k < scores.count() else least
+    elif unseen:
         own = scores.where("unseen")
         usual = kth_largest(own, "weight", math.ceil((1 - SPARE) * own.count()))
         least = kth_largest(scores, "score", scores.where(F.col("weight") >= F.lit(usual)).count())
