@@ -80,6 +80,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     out.append((_node(own), len(own), buckets(own).view(np.int64) if len(own) else []))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
         _CODES.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
 

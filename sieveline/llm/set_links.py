@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship, shuffle_partitions
 from .simhash_gray import components
+from .tokens import release
 
 #: Nodes in a part of a star; bytes of sets in a block.
 STAR, BLOCK_BYTES = 500, 4 << 20
@@ -49,6 +50,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ship(pairs.sparkSession)
 
     def run(batches):
+        release()
         last, held, found = None, None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -66,6 +68,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     found = []
         if found:
             yield _pairs(found)
+        release()
 
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("_parts"))
     share = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
@@ -121,6 +124,7 @@ def cross_links(rest: DataFrame, sets: DataFrame, percent: int, block_bytes: int
         return links_between(nodes, roots, blocks, [h[3] for h in held], key, [h[4] for h in held], percent)
 
     def run(batches):
+        release()
         last, held, known = None, [], {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -134,6 +138,8 @@ def cross_links(rest: DataFrame, sets: DataFrame, percent: int, block_bytes: int
                     held.append((node, root, own, groups, np.frombuffer(raw.as_py(), np.uint64)))
         if found := finish(last and last[0], held):
             yield _pairs(found)
+        held.clear()
+        release()
 
     weight = F.sum(8 * F.col("n"))
     by_root = rest.groupBy("key", "root").agg(weight.alias("w"))

@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, only, ship
+from .tokens import release
 
 SEED = 42
 MAX_BITS = 3
 SHINGLE = 3
 FAN = 8
-LEAF_PAIRS = 1 << 14
+LEAF_PAIRS = 1 << 12
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -141,7 +142,7 @@ class Forest:
             self.parent[high[first]] = low[first]
 
 
-def link(own: np.ndarray, guests: np.ndarray, limit: int = MAX_BITS, chunk: int = 1 << 15, within: bool = True, extra: tuple[np.ndarray, np.ndarray] | None = None, extra_limit: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def link(own: np.ndarray, guests: np.ndarray, limit: int = MAX_BITS, chunk: int = 1 << 13, within: bool = True, extra: tuple[np.ndarray, np.ndarray] | None = None, extra_limit: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``own`` (unless not asked for) and between ``own`` and ``guests``.
 
     Edges lead from one member of each part to the others, as numbers into
@@ -308,6 +309,7 @@ def index_links(seen: DataFrame, n_nodes: int, limit: int, extra_limit: int = 64
         return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
 
     def run(batches):
+        release()
         node, own, held, size = None, [], [], 0
         for batch in batches:
             numbers, guest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
@@ -328,6 +330,7 @@ def index_links(seen: DataFrame, n_nodes: int, limit: int, extra_limit: int = 64
                 elif size >= 1 << 20:  # a node without fingerprints of its own links nothing
                     held, size = [], 0
         yield from finish(node, own, held)
+        release()
 
     def finish(node, own, held):
         if node is None or not own:

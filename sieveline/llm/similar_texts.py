@@ -135,6 +135,7 @@ def signatures(docs: DataFrame, size: int, bits: int, tables: int) -> DataFrame:
                 columns = [[_node(s) for s in sets], [len(s) for s in sets], marks]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
         _CODES.clear()  # a reused worker keeps nothing for other operators' tasks
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, marks array<long>")
 
@@ -162,11 +163,13 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches):
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = [shingles(t.as_py(), size) for t in batch.column(0).slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
         _CODES.clear()
+        release()
 
     return docs.select("text").mapInArrow(run, "node long, hashes binary")
 

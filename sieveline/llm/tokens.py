@@ -12,12 +12,17 @@ encoded whole instead. Either way the ids equal those of
 
 from __future__ import annotations
 
+import ctypes
 import os
 import struct
 import unicodedata
 
+import pyarrow as pa
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: glibc's way to return freed memory to the system; other libraries return it by themselves.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Pieces, and letter runs within them, kept per worker before a cache starts anew; bounds its memory.
 MAX_PIECES = 300_000
 MAX_CORES = 1_500_000
@@ -134,8 +139,15 @@ def tokenizer(path: str) -> PieceTokenizer:
 
 
 def release() -> None:
-    """Drop a reused worker's tokenizer and its caches; operators with caches of their own begin with this."""
+    """Drop a reused worker's tokenizer and its caches, and give back what it has freed.
+
+    Workers live on beside the JVM between tasks, so tasks of operators that need no
+    tokenizer begin with this, and those that held much end with it.
+    """
     _LOADED.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def vocabulary_path(name: str) -> str:
