@@ -83,7 +83,11 @@ def cover_rank(index: DataFrame, terms: list[str], k: int | None = None) -> Data
 
 
 def _walk(lists: Column, n: int, keep: bool) -> Column:
-    """The merge: state is each term's last place and its number in the merged list, and what covers have added up to."""
+    return _walked(merged(lists), n, keep)
+
+
+def _walked(spots: Column, n: int, keep: bool) -> Column:
+    """The merge, over places in order: state is each term's last place and its number in the merged list, and what covers have added up to."""
     spot = "struct<place:int,at:int>"
     cover = "array<struct<start:int,end:int,noise:int>>"
     none = F.array(*[F.struct(F.lit(0).alias("place"), F.lit(0).alias("at")).cast(spot) for _ in range(n)])
@@ -104,7 +108,25 @@ def _walk(lists: Column, n: int, keep: bool) -> Column:
             (F.when(new, F.concat(s["covers"], own)).otherwise(s["covers"]) if keep else s["covers"]).alias("covers"),
         )
 
-    return F.aggregate(merged(lists), start, step)
+    return F.aggregate(spots, start, step)
+
+
+def cover_density(text: Column, terms: list[str]) -> Column:
+    """The rank of one text without an index: 0 unless every term is there."""
+    wanted = _terms(terms)
+    tokens = tokens_of(text)
+    spots = F.filter(F.transform(tokens, lambda w, i: F.struct((i + 1).cast("int").alias("place"), (F.array_position(F.array(*map(F.lit, wanted)), w) - 1).cast("int").alias("term"))), lambda x: x["term"] >= 0)
+    return _walked(spots, len(wanted), False)["rank"] if wanted else F.lit(0.0)
+
+
+def keyword_rank(chunks: DataFrame, words: list[str], k: int, *, text: str = "content", key: str = "id") -> DataFrame:
+    """W5 whole: ``key, score``: how many words a text holds in any case, and its cover density over all of them; ties by key."""
+    if not words:
+        return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
+    held = sum((F.col(text).ilike(f"%{w}%").cast("double") for w in words), F.lit(0.0))
+    scored = chunks.select(key, held.alias("_held"), text).where("_held > 0")  # the others are never split into words
+    ranked = scored.select(key, F.round(F.col("_held") + F.when(F.col("_held") == len(words), cover_density(F.col(text), words)).otherwise(0.0), 6).alias("score"))
+    return ranked.orderBy(F.col("score").desc(), key).limit(k)
 
 
 def phrase(index: DataFrame, words: list[str]) -> DataFrame:

@@ -17,6 +17,8 @@ RRF_K, OVERLAP_BONUS = 60, 0.02
 K1, B = 1.2, 0.75
 #: The engine compares vectors of at most this many queries by one broadcast; more go in blocks.
 MAX_BROADCAST_QUERIES = 4096
+#: Longest result list that is ranked as a whole; a longer one is an error, as one task would hold it.
+MAX_RESULTS = 1_000_000
 
 
 def similar(chunks: DataFrame, query: list[float], k: int, *, vector: str = "embedding", key: str = "id") -> DataFrame:
@@ -54,15 +56,6 @@ def keyword_coverage(chunks: DataFrame, words: list[str], k: int, *, text: str =
     return chunks.withColumn("score", score).where("score > 0").orderBy(F.col("score").desc(), key).limit(k)
 
 
-def cover_density(text: Column, words: Column) -> Column:
-    """An approximation of cover-density rank: 0 unless every word is there, else 0.1 for each of the words per span from first to last."""
-    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    places = F.transform(words, lambda w: F.array_position(tokens, F.lower(w)))
-    all_there = F.forall(places, lambda p: p > 0)
-    span = F.array_max(places) - F.array_min(places) + 1
-    return F.when(all_there & (F.size(words) > 0), 0.1 * F.size(words) / span).otherwise(0.0)
-
-
 def tokens_of(text: Column) -> Column:
     """Letter and digit runs in lower case without accents (a decomposition is not built in, so the common Latin ones are mapped)."""
     plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -97,9 +90,15 @@ def append_leg(first: DataFrame, second: DataFrame, k: int, key: str = "key") ->
 
 
 def with_rank(df: DataFrame, *order: Column, partition: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """1-based ranks. Without a partition ``df`` must be a bounded result list."""
-    w = Window.partitionBy(*(partition or [])).orderBy(*order) if partition else Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+    """1-based ranks. Without a partition ``df`` must be a result list of at most ``MAX_RESULTS`` rows."""
+    if partition:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+    return df.withColumn(name, _bounded(F.row_number().over(Window.orderBy(*order))))
+
+
+def _bounded(n: Column) -> Column:
+    """The number, or an error if it is over ``MAX_RESULTS``."""
+    return F.when(n > MAX_RESULTS, F.raise_error(F.lit(f"a result list of over {MAX_RESULTS} rows"))).otherwise(n)
 
 
 def fuse_rrf(vector: DataFrame, keyword: DataFrame, k: int, keys: tuple[str, ...] = ("path", "start_line")) -> DataFrame:
@@ -112,6 +111,7 @@ def fuse_rrf(vector: DataFrame, keyword: DataFrame, k: int, keys: tuple[str, ...
     sizes = v.agg(F.count("*").alias("nv")).join(w.agg(F.count("*").alias("nw")), F.lit(True))
     both = F.col("r1").isNotNull() & F.col("r2").isNotNull()
     raw = F.coalesce(1.0 / (RRF_K + F.col("r1")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("r2")), F.lit(0.0)) + F.when(both, OVERLAP_BONUS).otherwise(0.0)
+    sizes = sizes.withColumn("nv", _bounded(F.col("nv"))).withColumn("nw", _bounded(F.col("nw")))  # counted before the window below takes them all
     joined = v.join(w, list(keys), "full").join(F.broadcast(sizes), F.lit(True)).withColumn("raw", F.round(raw, 9))
     alone = (F.col("nv") == 0) | (F.col("nw") == 0)
     order = [F.col("raw").desc(), F.col("r1").asc_nulls_last(), F.col("r2").asc_nulls_last()]

@@ -168,3 +168,49 @@ def _(spark, t):
 
     f = t("orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("path"))
     return git_changed(f, t("customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("path"))).select("o_orderkey")
+
+
+@query("S1_scan_files", "SELECT coalesce(source, 'none') AS folder, CAST(count(*) AS BIGINT) AS texts, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
+def _(spark, t):
+    """The documents written as text files by source, among files that aren't eligible, and found again."""
+    from ..operators.lineage import fresh_path
+    from ..sources.files import scan_files
+
+    root = fresh_path(spark, "tree")
+    docs = t("documents").select(F.coalesce("source", F.lit("none")).alias("folder"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("folder").option("maxRecordsPerFile", 6).text(root)
+    t("documents").select("doc_id").coalesce(1).write.mode("append").csv(f"{root}/node_modules")
+    found = scan_files(spark, root).select(F.regexp_extract("path", "folder=([^/]*)/", 1).alias("folder"), "size_bytes")
+    counts = docs.groupBy("folder").agg(F.count("*").alias("texts"))
+    return found.groupBy("folder").agg(F.sum("size_bytes").alias("n_bytes")).join(counts, "folder").select("folder", "texts", "n_bytes")
+
+
+@query("C4_character_pieces", "SELECT doc_id, true AS whole, true AS fits, true AS sound FROM documents")
+def _(spark, t):
+    """Texts cut into pieces of at most 997 bytes: together they are the text, none is too long, and none cuts a character."""
+    pieces = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("p", chunking.pieces_of(F.col("text"), 997))
+    whole = F.array_join(F.transform("p", lambda x: F.decode(x, "utf-8")), "") == F.col("text")
+    sound = F.forall("p", lambda x: F.is_valid_utf8(F.decode(x, "utf-8")) & (F.encode(F.decode(x, "utf-8"), "utf-8") == x))
+    return pieces.select("doc_id", whole.alias("whole"), F.forall("p", lambda x: F.octet_length(x) <= 997).alias("fits"), sound.alias("sound"))
+
+
+@query("M10_sql_functions", """SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 3) AS dot FROM embeddings""")
+def _(spark, t):
+    """The engine's functions by name in SQL text."""
+    from ..functions.surface import register_functions
+
+    register_functions(spark)
+    t("embeddings").createOrReplaceTempView("sieveline_embeddings")
+    return spark.sql("SELECT vec_id, round(sieve_cosine(embedding, embedding) * sieve_norm(embedding) * sieve_norm(embedding), 3) AS dot FROM sieveline_embeddings")
+
+
+@query("M10_chunk_table", "SELECT doc_id, CAST(count(*) AS BIGINT) AS words FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) FROM documents) GROUP BY 1")
+def _(spark, t):
+    """A table function in SQL text: the chunks of each document, whose words are the document's."""
+    from ..functions.surface import register_functions
+
+    register_functions(spark)
+    t("documents").createOrReplaceTempView("sieveline_documents")
+    rows = spark.sql("SELECT doc_id, c.chunk_index, c.content FROM sieveline_documents, LATERAL sieve_paragraphs(text) c")
+    words = F.size(F.filter(F.split(F.lower("content"), r"\s+"), lambda x: x != ""))
+    return rows.groupBy("doc_id").agg(F.sum(words).cast("long").alias("words"))

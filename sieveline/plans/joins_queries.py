@@ -147,11 +147,11 @@ def _(spark, t):
     return writepath.upsert(old, new, ["id"])
 
 
-@query("M5_embed_missing")
+@query("M5_embed_missing", "SELECT doc_id AS key, sha256(coalesce(text, '')) AS input_hash, CAST(256 AS BIGINT) AS dims FROM documents")
 def _(spark, t):
     cache = t("documents").where("lang = 'en'").select(F.sha2("text", 256).alias("input_hash"), F.lit("hash").alias("model"), writepath.embed(F.col("text")).alias("embedding")).dropDuplicates(["input_hash"])
     out, _ = writepath.embed_missing(t("documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")), cache, "hash")
-    return out.select("key", "input_hash", F.size("embedding").alias("dims"))
+    return out.select("key", "input_hash", F.size("embedding").cast("long").alias("dims"))
 
 
 @query("U7_models", "SELECT event_type AS model, min(event_id) AS at FROM events GROUP BY 1")
@@ -173,5 +173,5 @@ def _(spark, t):
 @query("S26_export", "SELECT vec_id, label FROM embeddings WHERE label = 3 ORDER BY vec_id")
 def _(spark, t):
     e = t("embeddings")
-    chunks = e.select("vec_id", "label", F.col("label").alias("project_id"), F.col("vec_id").alias("file_id"), F.size("embedding").alias("dims"), F.lit(0).alias("chunk_index"))
+    chunks = e.select("vec_id", "label", F.col("label").alias("project_id"), F.col("vec_id").alias("file_id"), F.size("embedding").cast("long").alias("dims"), F.lit(0).alias("chunk_index"))
     return sources.export_chunks(chunks, e.select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("path"), F.lit("").alias("hash")), 3).select("vec_id", "label")

@@ -68,12 +68,12 @@ def _(spark, t):
     return t("embeddings").select("vec_id", F.round(s.norm(F.col("embedding")), 6).alias("n"))
 
 
-@query("F9_vector_codec")
+@query("F9_vector_codec", "SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS n_bytes, true AS same FROM embeddings")
 def _(spark, t):
     from ..operators.writepath import decode_vector, encode_vector
 
     raw = encode_vector(F.col("embedding"))
-    return t("embeddings").select("vec_id", F.octet_length(raw).alias("n_bytes"), (decode_vector(raw) == F.col("embedding")).alias("same"))
+    return t("embeddings").select("vec_id", F.octet_length(raw).cast("long").alias("n_bytes"), (decode_vector(raw) == F.col("embedding")).alias("same"))
 
 
 @query("F10_gain_discount", "SELECT event_id, round(pow(2, event_id % 4) - 1, 9) AS gain, round(log2(event_id % 10 + 2), 9) AS discount FROM events")

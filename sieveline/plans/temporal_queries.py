@@ -146,6 +146,16 @@ def _(spark, t):
     return positional.cover_rank(_index(spark, t, terms), terms).select("key", F.col("covers").cast("long").alias("covers"), F.col("shortest").cast("long").alias("shortest"), F.round("rank", 6).alias("rank"))
 
 
+@query("W5_keyword_rank", f"""WITH {_TOK}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM p WHERE term IN ('the', 'of')),
+ l AS (SELECT doc_id, pos, nth, max(CASE WHEN term = 'the' THEN pos END) OVER w AS a, max(CASE WHEN term = 'of' THEN pos END) OVER w AS b FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ c AS (SELECT doc_id, least(a, b) AS s, min(pos) AS e, min(nth) AS nth FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2),
+ r AS (SELECT c.doc_id, sum(0.1 / (1 + (e - s) - (c.nth - h.nth))) AS rank FROM c JOIN h ON h.doc_id = c.doc_id AND h.pos = c.s GROUP BY 1),
+ k AS (SELECT doc_id, CASE WHEN text ILIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN text ILIKE '%of%' THEN 1 ELSE 0 END AS held FROM documents)
+ SELECT doc_id, round(held + CASE WHEN held = 2 THEN coalesce(rank, 0) ELSE 0 END, 6) AS score FROM k LEFT JOIN r USING (doc_id) WHERE held > 0 ORDER BY score DESC, doc_id LIMIT 30""")
+def _(spark, t):
+    return positional.keyword_rank(t("documents"), ["the", "of"], 30, text="text", key="doc_id")
+
+
 @query("X3_phrase", f"WITH {_TOK} SELECT a.doc_id AS key, a.pos AS place FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
 def _(spark, t):
     return positional.phrase(_index(spark, t, ["of", "the"]), ["of", "the"]).select("key", F.explode("places").alias("place")).withColumn("place", F.col("place").cast("long"))

@@ -150,6 +150,16 @@ def chunks_of(path: Column, content: Column, budget: int = CHUNK_BYTES, how: str
     return run(path, content)
 
 
+def pieces_of(text: Column, budget: int) -> Column:
+    """C4 as a column: ``array<binary>``."""
+
+    @F.pandas_udf("array<binary>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_characters((t or "").encode(), budget))
+
+    return run(text)
+
+
 def explode_chunks(files: DataFrame, budget: int = CHUNK_BYTES, how: str = "file") -> DataFrame:
     """One row a chunk: the file's columns but ``content``, ``chunk_index`` and the chunk."""
     keep = [c for c in files.columns if c != "content"]

@@ -98,3 +98,20 @@ def test_a_search_reads_only_the_lists_it_probes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(list" in (plan := found._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [(list" in plan, plan
     assert found.orderBy("rank").first().key == 3
     assert ann.search(spark, path, centroids, one.where("false"), 5).count() == 0
+
+
+def test_cover_density_of_a_row_is_that_of_the_index(spark, chunks):
+    df, _ = chunks
+    for terms in (["a"], ["b", "c"], ["c", "a", "b"]):
+        want = {r.key: r.rank for r in positional.cover_rank(positional.build(df), terms).collect()}
+        got = {r.id: r.rank for r in df.select("id", positional.cover_density(F.col("content"), terms).alias("rank")).collect()}
+        assert {k: pytest.approx(v, abs=1e-8) for k, v in want.items()} == {k: v for k, v in got.items() if v}
+
+
+def test_functions_by_name_in_sql(spark):
+    from sieveline.functions.surface import register_functions
+
+    assert "sieve_embed" in register_functions(spark)
+    row = spark.sql("SELECT sieve_cosine(array(3f, 4f), array(3f, 4f)) AS a, sieve_cosine(array(0f), array(1f)) AS b, sieve_cosine(array(1f), array(1f, 2f)) AS c, sieve_dirname('x/y/z.go') AS d, sieve_dirname('z') AS e, sieve_rrf(1) AS f, size(sieve_embed('a b')) AS n").first()
+    assert tuple(row) == (1.0, 0.0, 0.0, "x/y", ".", pytest.approx(1 / 61), 256)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM sieve_paragraphs('a\\n\\n b \\n \\n\\nc')").collect()] == [(0, "a"), (1, "b"), (2, "c")]

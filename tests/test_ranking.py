@@ -49,3 +49,15 @@ def test_similar_orders_by_cosine(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, None)], "id int, embedding array<float>")
     out = r.similar(df, [1.0, 0.0, 0.0], 0).collect()
     assert [x.id for x in out] == [1, 2] and abs(out[0].score - 1) < 1e-9
+
+
+def test_an_unbounded_list_is_an_error(spark, monkeypatch):
+    import pytest
+
+    from sieveline.operators import ranking
+
+    monkeypatch.setattr(ranking, "MAX_RESULTS", 5)
+    rows = spark.range(6)
+    with pytest.raises(Exception, match="result list of over 5 rows"):
+        ranking.with_rank(rows, rows["id"]).collect()
+    assert ranking.with_rank(rows.limit(5), rows["id"]).count() == 5
