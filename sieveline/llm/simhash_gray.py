@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, ship
+from .common import cut, only, ship, shuffle_partitions
 from .tokens import release
 
 SEED = 42
@@ -41,6 +41,8 @@ MAX_BITS = 3
 SHINGLE = 3
 FAN = 8
 LEAF_PAIRS = 1 << 12
+#: Tasks of a round over edges, and edges for which there is one more.
+LEAST_TASKS, EDGES_PER_TASK = 8, 50_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -347,22 +349,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root``: the least node of each connected part, for nodes with an edge.
 
     Alternating large-star and small-star steps; sums and minima combine before
-    each shuffle and joins may split a hub's rows.
+    each shuffle and joins may split a hub's rows. Few edges go in few tasks, so a
+    round over a small table doesn't leave a file for each shuffle partition.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    before, most = None, shuffle_partitions(edges.sparkSession)
     for _ in range(max_rounds):
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
+        tasks = min(most, LEAST_TASKS + now.n // EDGES_PER_TASK)
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
+        large = cut(large.coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(least, large.u == least.k).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        small = large.join(least, large.u == least.k).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
+        e = cut(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")).coalesce(tasks)).distinct().coalesce(tasks))
     raise RuntimeError(f"components haven't settled in {max_rounds} rounds")
 
 
