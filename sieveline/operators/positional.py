@@ -44,7 +44,8 @@ def _part(term: Column, parts: int) -> Column:
 def write(index: DataFrame, path: str, parts: int = PARTS) -> None:
     """The index as ``path/part=…``, sorted by term within files. A frequent term spreads over files by key."""
     placed = index.withColumn("part", _part(F.col("term"), parts))
-    placed.repartition("part", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("part", "term", "key").write.mode("overwrite").partitionBy("part").parquet(path)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartition(max(parts, tasks), "part", F.pmod(F.xxhash64("key"), F.lit(max(4, tasks // parts)))).sortWithinPartitions("part", "term", "key").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def read(spark: SparkSession, path: str, terms: list[str], parts: int = PARTS) -> DataFrame:

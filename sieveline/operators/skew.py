@@ -24,6 +24,8 @@ from .lineage import cut
 
 #: Measured bytes up to which a side is broadcast; times a task's fair part from which a key is heavy.
 BROADCAST_BYTES, HEAVY = 64 << 20, 1.0
+#: Rows whose size is measured.
+SIZED = 100_000
 _KEY, _SALT = "_join_key", "_join_salt"
 
 
@@ -38,10 +40,11 @@ class Choice:
     salts: dict = field(default_factory=dict)
 
 
-def row_bytes(df: DataFrame) -> int:
-    """Bytes of a row as text of its columns, on average over all rows; 16 more for the row itself."""
+def row_bytes(df: DataFrame, rows: int) -> int:
+    """Bytes of a row as text of its columns, on average over about ``SIZED`` rows drawn from all; 16 more for the row itself."""
+    some = df if rows <= SIZED else df.sample(SIZED / rows, seed=7)
     length = sum((F.coalesce(F.length(F.to_json(F.struct(df[f"`{c}`"]))), F.lit(0)) for c in df.columns), F.lit(16))
-    return int(df.agg(F.avg(length)).first()[0] or 16)
+    return int(some.agg(F.avg(length)).first()[0] or 16)
 
 
 def key_of(df: DataFrame, on: list[str]):
@@ -69,7 +72,7 @@ def adaptive_join(left: DataFrame, right: DataFrame, on: list[str], *, partition
     spark = left.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     heavy, rows = measure(left, right, on, n, share)
-    widths = row_bytes(left), row_bytes(right)
+    widths = row_bytes(left, rows[0]), row_bytes(right, rows[1])
     size = rows[0] * widths[0], rows[1] * widths[1]
     if min(size) <= broadcast_bytes:
         small_right = size[1] <= size[0]

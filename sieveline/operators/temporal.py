@@ -45,15 +45,17 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, colum
     cells before. Right rows of one time: the largest ``tie`` counts. No match: nulls.
     Left rows with a null key or time match nothing and stay. Columns come back as ``<name><suffix>``.
     """
-    width = width or bucket_width(right, keys, ts)
+    width = width or min(bucket_width(left, keys, ts), bucket_width(right, keys, ts))
+    sound = _all_there(left, [*keys, ts])  # the others match nothing and go past the windows
+    found_columns = [c + suffix for c in columns]
+    rest = left.where(~sound).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c + suffix) for c in columns])
+    left = left.where(sound)
     whole = F.struct(*[left[f"`{c}`"].alias(c) for c in left.columns])
     # of one time, what a left row may not see comes after it
     mine = left.select(*[left[k].alias(f"_k{i}") for i, k in enumerate(keys)], micros(left[ts]).alias("_t"), F.lit(1 if not strict else 0).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), whole.alias("_row"))
     seen = F.struct(*[right[c].alias(c) for c in columns])
-    known = right[ts].isNotNull()
-    for k in keys:
-        known = known & right[k].isNotNull()
-    theirs = right.where(known).select(*[right[k].alias(f"_k{i}") for i, k in enumerate(keys)], micros(right[ts]).alias("_t"), F.lit(0 if not strict else 1).alias("_side"), right[tie].alias("_tie"), seen.alias("_seen"))
+    right = right.where(_all_there(right, [*keys, ts]))
+    theirs = right.select(*[right[k].alias(f"_k{i}") for i, k in enumerate(keys)], micros(right[ts]).alias("_t"), F.lit(0 if not strict else 1).alias("_side"), right[tie].alias("_tie"), seen.alias("_seen"))
     names = [f"_k{i}" for i in range(len(keys))]
     both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("_cell", F.floor(F.col("_t") / F.lit(width * 1_000_000)).cast("long"))
     cell = Window.partitionBy(*names, "_cell").orderBy("_t", "_side", "_tie")
@@ -66,7 +68,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, colum
     carry = every.withColumn("_carry", F.last("_seen", ignorenulls=True).over(before)).where("_carry is not null").select(*names, "_cell", "_carry")
     joined = filled.join(carry, [*names, "_cell"], "left")
     found = F.coalesce("_last", "_carry")
-    return joined.select("_row.*", *[found[c].alias(c + suffix) for c in columns])
+    return joined.select("_row.*", *[found[c].alias(name) for c, name in zip(columns, found_columns)]).unionByName(rest)
+
+
+def _all_there(df: DataFrame, columns: list[str]) -> Column:
+    """No null among the columns."""
+    there = F.lit(True)
+    for c in columns:
+        there = there & df[f"`{c}`"].isNotNull()
+    return there
 
 
 def time_frame(df: DataFrame, keys: list[str], ts: str, seconds: int, aggregates: dict[str, Column], *, width: int | None = None) -> DataFrame:
@@ -74,7 +84,7 @@ def time_frame(df: DataFrame, keys: list[str], ts: str, seconds: int, aggregates
 
     A row goes to its own bucket and, as a guest, to each later one whose frames reach
     it; with buckets at least as long as the frame that is one copy at most. Guests
-    are left out of the result.
+    are left out of the result, and so are rows without a time, which have no frame.
     """
     width = max(seconds, width or 0)
     own = bucket(ts, width)
@@ -102,6 +112,7 @@ def bursts(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int,
 
     A row begins a run if what is before it is further away. Runs are numbered by
     counting their beginnings: within a cell by a window, over cells by carried sums.
+    Rows with a null key or time are in no run.
     """
     rows = previous_time(df, keys, ts, tie, width=width).select(*keys, F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), "previous")
     begins = F.when(F.col("previous").isNull() | (micros("_ts") - micros("previous") > gap_seconds * 1_000_000), 1).otherwise(0)

@@ -47,6 +47,19 @@ def provider_chain(*attempts: Column) -> Column:
     return F.coalesce(*attempts)
 
 
+def provider_choice(attempts: DataFrame, timeout_ms: float) -> DataFrame:
+    """M2 over what providers answered: ``key, used, tried, timed_out, skipped`` from ``key, provider, place, ok, ms, local, sensitive`` rows.
+
+    Providers are asked in their places' order until one answers in time. Those that
+    aren't local are never asked for a sensitive text. ``used`` is null if none answered.
+    """
+    allowed = F.col("local") | ~F.col("sensitive")
+    good = allowed & F.col("ok") & (F.col("ms") <= timeout_ms)
+    first = attempts.where(good).groupBy("key").agg(F.min("place").alias("_first"), F.min_by("provider", "place").alias("used"))
+    asked = attempts.join(first, "key", "left").where(F.col("_first").isNull() | (F.col("place") <= F.col("_first")))
+    return asked.groupBy("key").agg(F.any_value("used").alias("used"), F.count_if(allowed).alias("tried"), F.count_if(allowed & (F.col("ms") > timeout_ms)).alias("timed_out"), F.count_if(~allowed).alias("skipped"))
+
+
 def breaker_state(failures: DataFrame, now: Column, threshold: int = 3, cooldown_seconds: int = 30) -> DataFrame:
     """M3: per provider closed, open or half-open, from ``provider, ts, ok`` rows: failures since the last success."""
     ok = failures.groupBy("provider").agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("good"))

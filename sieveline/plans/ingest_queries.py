@@ -56,7 +56,8 @@ def _(spark, t):
     return chunking.explode_chunks(files(t), 1000, "prose").select("id", "chunk_index", "start_line", "end_line", F.octet_length("content").alias("n_bytes"))
 
 
-@query("C5_symbol_chunks")
+@query("C5_symbol_chunks", """SELECT p_partkey AS id, i AS chunk_index, [1, 3, 6][i + 1] AS start_line, [1, 4, 7][i + 1] AS end_line,
+ ['import os', '[function] f' || p_partkey || chr(10) || 'def f' || p_partkey || '():' || chr(10) || '    return ' || chr(39) || p_name || chr(39), '[class] C' || chr(10) || 'class C:' || chr(10) || '    x = 1'][i + 1] AS content FROM part, (SELECT unnest(range(3))::INTEGER AS i)""")
 def _(spark, t):
     code = t("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("import os\n\ndef f"), F.col("p_partkey").cast("string"), F.lit("():\n    return '"), F.col("p_name"), F.lit("'\n\nclass C:\n    x = 1\n")).alias("content"))
     return chunking.explode_chunks(code, 4000, "symbols").select("id", "chunk_index", "start_line", "end_line", "content")
@@ -98,7 +99,7 @@ def _(spark, t):
     return import_edges(f)
 
 
-@query("E1_symbols")
+@query("E1_symbols", "SELECT p_partkey AS id, 'F' || p_partkey AS name, 'function' AS kind, 3 AS start_line, 5 AS end_line FROM part UNION ALL SELECT p_partkey, 'T' || p_partkey, 'type', 7, 8 FROM part")
 def _(spark, t):
     k = F.col("p_partkey").cast("string")
     f = t("part").select(F.col("p_partkey").alias("id"), F.lit("a.go").alias("path"), F.concat(F.lit("package a\n\nfunc F"), k, F.lit("() {\n\treturn\n}\n\ntype T"), k, F.lit(" struct {\n}\n")).alias("content"))

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import codeintel, evaluation, graph, ranking, usage, writepath
+from ..operators import codeintel, evaluation, graph, numbering, ranking, usage, writepath
 from ..operators.lineage import fresh_path
 from ..streaming import continuous
 from .evaluation_queries import _METRICS, _RUN, _metrics, _tables
 from .registry import query
-from .search_queries import _LEGS, legs
+from .search_queries import _LEGS, _VEC, legs
 from .tables import EDGES_SQL, FILES_SQL, edges, files
 
 _TWO = "u AS (SELECT source_file AS a, target_file AS b FROM edges UNION SELECT target_file, source_file FROM edges)"
@@ -30,6 +30,20 @@ def _(spark, t):
     return t("part").select(F.col("p_partkey").alias("id"), writepath.provider_chain(F.when(kind == 0, "cloud"), F.when(kind == 1, "local"), F.lit(None).cast("string")).alias("used"))
 
 
+@query("M2_provider_attempts", """WITH a AS (SELECT l_orderkey AS key, 'p' || l_linenumber AS provider, l_linenumber AS place, l_returnflag <> 'R' AS ok, l_quantity AS ms, l_linenumber % 3 = 0 AS local, l_orderkey % 4 = 0 AS sensitive FROM lineitem),
+ g AS (SELECT key, min(place) AS f, arg_min(provider, place) AS used FROM a WHERE (local OR NOT sensitive) AND ok AND ms <= 40 GROUP BY 1)
+ SELECT a.key, any_value(used) AS used, count(*) FILTER (WHERE local OR NOT sensitive) AS tried, count(*) FILTER (WHERE (local OR NOT sensitive) AND ms > 40) AS timed_out, count(*) FILTER (WHERE NOT (local OR NOT sensitive)) AS skipped FROM a LEFT JOIN g ON a.key = g.key WHERE f IS NULL OR place <= f GROUP BY 1""")
+def _(spark, t):
+    n = F.col("l_linenumber")
+    attempts = t("lineitem").select(F.col("l_orderkey").alias("key"), F.concat(F.lit("p"), n.cast("string")).alias("provider"), n.alias("place"), (F.col("l_returnflag") != "R").alias("ok"), F.col("l_quantity").alias("ms"), (n % 3 == 0).alias("local"), (F.col("l_orderkey") % 4 == 0).alias("sensitive"))
+    return writepath.provider_choice(attempts, 40)
+
+
+@query("M4_round_robin", "SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 4 AS INTEGER) AS member FROM events")
+def _(spark, t):
+    return numbering.round_robin(t("events").select("event_id", "ts"), ["ts", "event_id"], 4).select("event_id", "member")
+
+
 @query("M3_breaker", """WITH e AS (SELECT user_id AS provider, ts, event_type <> 'error' AS ok FROM events), g AS (SELECT provider, max(ts) FILTER (WHERE ok) AS good FROM e GROUP BY 1),
  b AS (SELECT provider, count(*) AS n, max(ts) AS failed_at FROM e JOIN g USING (provider) WHERE NOT ok AND (good IS NULL OR ts > good) GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
  SELECT provider, CASE WHEN coalesce(n, 0) < 2 THEN 'closed' WHEN now >= failed_at + INTERVAL 1 HOUR THEN 'half-open' ELSE 'open' END AS state FROM g LEFT JOIN b USING (provider), m""")
@@ -207,11 +221,10 @@ def _(spark, t):
     return t("embeddings").select("vec_id", "embedding", pairs.alias("p")).select("vec_id", "p.kind", F.round(s.cosine(v, F.col("p.other")), 6).alias("score"))
 
 
-@query("W3_all_similar", "SELECT count(*) AS n, count(*) AS best FROM embeddings")
+@query("W3_all_similar", f"SELECT e.vec_id, {_VEC} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
 def _(spark, t):
     q = list(t("embeddings").where("vec_id = 0").first().embedding)
-    every = ranking.similar(t("embeddings"), q, 0, key="vec_id")
-    return every.agg(F.count("*").alias("n"), F.count_if(F.col("score") <= 1.000001).alias("best"))
+    return ranking.similar(t("embeddings"), q, 0, key="vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
 _FUSED = f"""{_LEGS}, f AS (SELECT coalesce(v.path, w.path) AS path, r1, r2, round(coalesce(1.0 / (60 + r1), 0) + coalesce(1.0 / (60 + r2), 0) + CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 0.02 ELSE 0 END, 9) AS raw FROM v FULL JOIN w ON v.path = w.path)"""

@@ -163,3 +163,24 @@ def test_partial_states_are_bounded(spark):
     parts = medians.states(rows, 16)
     assert parts.count() <= 5 * 16
     assert medians.merge(parts, 16).count() <= 16
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    from sieveline.operators import numbering
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, *range(20)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(7)
+    got = {r.id: r.number for r in numbering.numbered(df, ["v", "id"], partitions=9).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1)}
+    assert numbering.numbered(df.where("false"), ["v"]).count() == 0
+    members = Counter(r.member for r in numbering.round_robin(df, ["v", "id"], 3).collect())
+    assert members == {0: 167, 1: 167, 2: 166}
+
+
+def test_providers_are_asked_in_order(spark):
+    from sieveline.operators import writepath
+
+    rows = [(1, "a", 1, False, 5.0, False, False), (1, "b", 2, True, 500.0, False, False), (1, "c", 3, True, 5.0, False, False), (1, "d", 4, True, 5.0, True, False), (2, "a", 1, True, 5.0, False, True), (2, "l", 2, True, 5.0, True, True), (3, "a", 1, True, 5.0, False, True)]
+    got = {r.key: tuple(r)[1:] for r in writepath.provider_choice(spark.createDataFrame(rows, "key int, provider string, place int, ok boolean, ms double, local boolean, sensitive boolean"), 100).collect()}
+    assert got == {1: ("c", 3, 1, 0), 2: ("l", 1, 0, 1), 3: (None, 0, 0, 1)}
