@@ -13,7 +13,8 @@ the mean of all training texts of its language that lie nearest to it.
 Nulls: a null text, or one without a letter, is ``und`` with score 0. Rows with a
 null language are predicted, not learned from. Repeated rows count once each.
 Ties go to the language that sorts first. With nothing to learn from, every
-text is ``und``.
+text is ``und``. Texts of any length are counted whole; other columns, whatever they
+are called, are left behind.
 """
 
 from __future__ import annotations

@@ -6,11 +6,13 @@ shuffled and memory is bounded): the differencing method keeps partial
 partitions, each a list of window sums, and always merges the two with the
 largest imbalance in opposing order, largest sum onto smallest. It ends with one
 partition of near-equal windows. It starts with the fewest windows that could
-hold the group; whenever a window exceeds the capacity, the window count rises
+hold the group (by its sum, and by its tails over half the capacity); whenever a window exceeds the capacity, the window count rises
 by one and the group is packed anew.
 
 Each id lies in exactly one piece. A null or empty text is its end id alone; an
-empty table gives no rows. Repeated rows are packed once each.
+empty table gives no rows. Repeated rows are packed once each. A very long text is
+tokenised whole and cut into windows one after another; other columns than the id and
+the text, whatever they are called, are left behind.
 """
 
 from __future__ import annotations
