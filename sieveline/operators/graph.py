@@ -116,33 +116,48 @@ def hubs(edges: DataFrame, n: int = HUB_SEEDS) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = WALK_DEPTH, undirected: bool = True, max_nodes: int = MAX_NODES) -> tuple[list[str], bool]:
     """Nodes from ``start`` to ``goal`` over built edges (``source, target, kind``); the directed way first, then both ways.
 
-    Of several shortest ways the one that sorts first, node by node. Empty if there is none within the depth;
-    the second value tells whether a level was cut to ``max_nodes``, so that there may be one all the same.
+    Levels hold nodes and their distance only; once the goal is reached, the nodes on shortest ways
+    are found level by level backwards, and of several shortest ways the one that sorts first,
+    node by node, forwards. Empty if there is none within the depth; the second value tells whether
+    a level was cut to ``max_nodes`` (those that sort first stay), so that there may be one all the same.
     """
     if start == goal:
         return [start], False
     over = False
-    forward = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    forward = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     back = forward.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    for links in (forward, forward.unionByName(back).distinct()) if undirected else (forward,):
-        seen = edges.sparkSession.createDataFrame([(start, [start])], "node string, way array<string>")
-        front = seen
+    for links in (forward, cut(forward.unionByName(back).distinct())) if undirected else (forward,):
+        levels = [edges.sparkSession.createDataFrame([(start,)], "node string")]
+        seen = levels[0]
         for _ in range(depth):
-            step = front.join(links, front.node == links.a).groupBy(F.col("b").alias("node")).agg(F.min(F.concat("way", F.array("b"))).alias("way"))
-            new = cut(step.join(seen.select("node"), "node", "left_anti"))
-            found = new.where(F.col("node") == goal).first()
-            if found:
-                return list(found.way), over
-            front = cut(new.orderBy("way").limit(max_nodes + 1))
-            n = front.count()
+            step = levels[-1].join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+            new = cut(step.join(seen, "node", "left_anti"))
+            if not new.where(F.col("node") == goal).isEmpty():
+                return _traced(links, levels, start, goal), over
+            n = new.count()
             if not n:
                 break
             if n > max_nodes:
-                over, front = True, front.orderBy("way").limit(max_nodes)
-            seen = seen.unionByName(front)
+                over, new = True, cut(new.orderBy("node").limit(max_nodes))
+            levels.append(new)
+            seen = seen.unionByName(new)
     return [], over
 
 
+def _traced(links: DataFrame, levels: list[DataFrame], start: str, goal: str) -> list[str]:
+    """The first of the shortest ways through ``levels`` (start's own first) to the goal behind them."""
+    spark = links.sparkSession
+    ahead, on_way = spark.createDataFrame([(goal,)], "node string"), []
+    for level in reversed(levels[1:]):
+        leads = links.join(ahead, F.col("b") == F.col("node"), "left_semi").select(F.col("a").alias("node")).distinct()
+        ahead = cut(level.join(leads, "node", "left_semi"))
+        on_way.insert(0, ahead)
+    way = [start]
+    for nodes in on_way:
+        way.append(links.where(F.col("a") == way[-1]).join(nodes, F.col("b") == F.col("node")).agg(F.min("b").alias("b")).first().b)
+    return [*way, goal]
+
+
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_DEPTH, inbound: bool = False, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame, bool]:
     """Nodes (``path, depth, out_degree, in_degree``), edges among them, and whether a limit cut something off."""
     plain = edges.select(F.col("source").alias("source_file"), F.col("target").alias("target_file"))

@@ -90,3 +90,13 @@ def test_alerts(spark):
     first = continuous.changed_alerts(rows, none)
     assert first.count() == 1
     assert continuous.changed_alerts(rows.orderBy(F.desc("path")), first).count() == 0
+
+
+def test_the_first_of_several_shortest_ways(spark):
+    edges = [("s", x, "i") for x in "cab"] + [(x, y, "i") for x, y in ("bz", "az", "cy", "yg", "zg", "az", "ax")]
+    df = spark.createDataFrame([*edges, ("q", "s", "i")], "source string, target string, kind string")
+    assert g.shortest_path(df, "s", "g") == (["s", "a", "z", "g"], False)
+    assert g.shortest_path(df, "s", "q") == (["s", "q"], False)
+    assert g.shortest_path(df, "s", "q", undirected=False) == ([], False)
+    assert g.shortest_path(df, "s", "g", max_nodes=1)[1]
+    assert g.shortest_path(df, "s", "s") == (["s"], False)
