@@ -405,7 +405,7 @@ def test_op8_selection_is_gumbel_top_k(spark, sf):
     k = sum(r.weight >= usual for r in rows)
     least = sorted((r.score for r in rows), reverse=True)[k - 1]
     assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in rows if r.score >= least}
-    noise = np.array([r.score - r.weight * importance.SPAN for r in rows])
+    noise = np.array([r.score - r.weight / importance.TEMPERATURE for r in rows])
     assert abs(noise.mean() - 0.5772) < 0.35 and abs(noise.std() - math.pi / 6**0.5) < 0.35
 
 
