@@ -91,8 +91,12 @@ def dead_code_stats(found: DataFrame) -> DataFrame:
 
 
 def symbol_at(places: DataFrame, symbols: DataFrame) -> DataFrame:
-    """For each ``path, line`` the symbol whose lines hold it, else the nearest that starts above, else the file's first."""
-    j = places.join(symbols, "path")
+    """For each ``path, line`` the symbol whose lines hold it, else the nearest that starts above, else the file's first.
+
+    Of symbols on equal lines only the first by name can be the answer, so only that one meets the places.
+    """
+    w = Window.partitionBy("path", "start_line", "end_line").orderBy("name")
+    j = places.join(symbols.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), "path")
     holds = (F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line"))
     above = F.col("start_line") <= F.col("line")
     order = [holds.desc(), above.desc(), F.when(above, -F.col("start_line")).otherwise(F.col("start_line")), F.col("name")]
