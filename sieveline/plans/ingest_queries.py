@@ -73,6 +73,12 @@ def _(spark, t):
 _SYMS = "s AS (SELECT p_brand AS path, list(struct_pack(name := p_name, kind := p_type, start_line := p_size, end_line := p_size + 3) ORDER BY p_partkey) AS syms FROM part GROUP BY 1)"
 
 
+def _chunks_and_symbols(t):
+    p = t("part").where("p_brand is not null")
+    symbols = p.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("at"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("start_line"), (F.col("p_size") + 3).alias("end_line"))
+    return p.select("p_partkey", F.col("p_brand").alias("path"), F.col("p_name").alias("content"), (F.col("p_size") + 1).alias("start_line"), (F.col("p_size") + 4).alias("end_line")), symbols
+
+
 def _with_symbols(t):
     p = t("part")
     s = F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("start_line"), (F.col("p_size") + 3).alias("end_line"))
@@ -83,7 +89,7 @@ def _with_symbols(t):
 @query("C7_chunk_inputs", f"""WITH {_SYMS}, h AS (SELECT p_partkey, p_name, list_filter(syms, lambda x: x.start_line <= p_size + 4 AND x.end_line >= p_size + 1) AS here FROM part JOIN s ON path = p_brand)
  SELECT p_partkey, sha256('Symbols: ' || list_aggregate(list_transform(here[1:20], lambda x: x.kind || ' ' || x.name), 'string_agg', ', ') || CASE WHEN len(here) > 20 THEN '...' ELSE '' END || chr(10) || p_name) AS h FROM h""")
 def _(spark, t):
-    return _with_symbols(t).select("p_partkey", F.sha2(chunking.chunk_inputs(F.col("content"), F.col("a"), F.col("b"), F.col("syms")), 256).alias("h"))
+    return chunking.listed_inputs(*_chunks_and_symbols(t)).select("p_partkey", F.sha2("input", 256).alias("h"))
 
 
 @query("C8_classify_chunks", f"""WITH {_SYMS}, c AS (SELECT p_partkey, list_filter(syms, lambda x: x.start_line BETWEEN p_size + 1 AND p_size + 4)[1].name AS d, list_filter(syms, lambda x: x.start_line <= p_size + 4 AND x.end_line >= p_size + 1)[1].name AS o,

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import symbols_of
+from ..operators.joins import interval_overlap
 from .files import CHUNK_BYTES, CODE_EXTENSIONS, CODE_NAMES, MAX_CHUNKS_PER_FILE
 
 CHUNK = "struct<content:string,start_line:int,end_line:int>"
@@ -203,3 +204,31 @@ def classify_chunk(content: Column, start: Column, end: Column, symbols: Column)
     said = first(lambda s: F.contains(content, s["name"]))
     confidence = F.when(declared.isNotNull(), "EXTRACTED").when(F.coalesce(over, said).isNotNull(), "INFERRED").otherwise("AMBIGUOUS")
     return F.struct(confidence.alias("confidence"), F.coalesce(declared, over, said, F.lit("")).alias("symbol"))
+
+
+#: The order of symbols in a list: ``at`` first, the rest where it is equal.
+_LISTED = ["at", "name", "kind", "sym_start", "sym_end"]
+
+
+def _first_of(symbols: DataFrame, n: int, *by: str) -> DataFrame:
+    """The first ``n`` in list order of each group."""
+    w = Window.partitionBy(*by).orderBy(*[c for c in _LISTED if c not in by])
+    return symbols.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def listed_inputs(chunks: DataFrame, symbols: DataFrame, cap: int = 20) -> DataFrame:
+    """C7 over tables: ``chunks`` (path, start_line, end_line, content and more) with ``input``; ``symbols``: path, at, name, kind, start_line, end_line.
+
+    Of symbols on equal lines no chunk lists more than ``cap`` and one to tell that
+    there are more; they meet each distinct run of lines once, so neither a list
+    nor the rows between grow with a file's symbols.
+    """
+    s = symbols.withColumnsRenamed({"start_line": "sym_start", "end_line": "sym_end"})
+    few = _first_of(s, cap + 1, "path", "sym_start", "sym_end")
+    met = _first_of(interval_overlap(chunks.select("path", "start_line", "end_line").distinct(), few), cap + 1, "path", "start_line", "end_line")
+    row = F.struct("at", "name", "kind", F.col("sym_start").alias("start_line"), F.col("sym_end").alias("end_line"))
+    here = met.groupBy("path", "start_line", "end_line").agg(F.sort_array(F.collect_list(row)).alias("_here"))
+    # chunks without symbols get an empty list of the same type
+    none = F.filter(F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in here.schema["_here"].dataType.elementType])), lambda x: F.lit(False))
+    joined = chunks.join(here, ["path", "start_line", "end_line"], "left")
+    return joined.withColumn("input", chunk_inputs(F.col("content"), F.col("start_line"), F.col("end_line"), F.coalesce("_here", none), cap)).drop("_here")
