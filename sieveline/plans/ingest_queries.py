@@ -79,13 +79,6 @@ def _chunks_and_symbols(t):
     return p.select("p_partkey", F.col("p_brand").alias("path"), F.col("p_name").alias("content"), (F.col("p_size") + 1).alias("start_line"), (F.col("p_size") + 4).alias("end_line")), symbols
 
 
-def _with_symbols(t):
-    p = t("part")
-    s = F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("start_line"), (F.col("p_size") + 3).alias("end_line"))
-    syms = p.groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(s)).alias("syms"))
-    return p.select("p_partkey", F.col("p_brand").alias("path"), F.col("p_name").alias("content"), (F.col("p_size") + 1).alias("a"), (F.col("p_size") + 4).alias("b")).join(syms, "path")
-
-
 @query("C7_chunk_inputs", f"""WITH {_SYMS}, h AS (SELECT p_partkey, p_name, list_filter(syms, lambda x: x.start_line <= p_size + 4 AND x.end_line >= p_size + 1) AS here FROM part JOIN s ON path = p_brand)
  SELECT p_partkey, sha256('Symbols: ' || list_aggregate(list_transform(here[1:20], lambda x: x.kind || ' ' || x.name), 'string_agg', ', ') || CASE WHEN len(here) > 20 THEN '...' ELSE '' END || chr(10) || p_name) AS h FROM h""")
 def _(spark, t):
@@ -95,7 +88,7 @@ def _(spark, t):
 @query("C8_classify_chunks", f"""WITH {_SYMS}, c AS (SELECT p_partkey, list_filter(syms, lambda x: x.start_line BETWEEN p_size + 1 AND p_size + 4)[1].name AS d, list_filter(syms, lambda x: x.start_line <= p_size + 4 AND x.end_line >= p_size + 1)[1].name AS o,
  list_filter(syms, lambda x: contains(p_name, x.name))[1].name AS m FROM part JOIN s ON path = p_brand) SELECT p_partkey, CASE WHEN d IS NOT NULL THEN 'EXTRACTED' WHEN coalesce(o, m) IS NOT NULL THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence, coalesce(d, o, m, '') AS symbol FROM c""")
 def _(spark, t):
-    return _with_symbols(t).select("p_partkey", chunking.classify_chunk(F.col("content"), F.col("a"), F.col("b"), F.col("syms")).alias("c")).select("p_partkey", "c.*")
+    return chunking.classify_chunks(*_chunks_and_symbols(t)).select("p_partkey", "confidence", "symbol")
 
 
 @query("G1_import_edges", "SELECT 'src/f' || p_partkey || '.py' AS source_file, 'app/part' || p_partkey % 9 || '/' AS target_file FROM part")

@@ -195,17 +195,6 @@ def chunk_inputs(content: Column, start: Column, end: Column, symbols: Column, c
     return F.when(F.size(here) == 0, content).otherwise(F.concat(F.lit("Symbols: "), listed, F.lit("\n"), content))
 
 
-def classify_chunk(content: Column, start: Column, end: Column, symbols: Column) -> Column:
-    """struct(confidence, symbol): declared here, overlapping, mentioned, or neither; the first symbol in list order."""
-    named = F.filter(symbols, lambda s: s["name"] != "")
-    first = lambda test: F.try_element_at(F.transform(F.filter(named, test), lambda s: s["name"]), F.lit(1))
-    declared = first(lambda s: s["start_line"].between(start, end))
-    over = first(lambda s: (s["start_line"] <= end) & (s["end_line"] >= start))
-    said = first(lambda s: F.contains(content, s["name"]))
-    confidence = F.when(declared.isNotNull(), "EXTRACTED").when(F.coalesce(over, said).isNotNull(), "INFERRED").otherwise("AMBIGUOUS")
-    return F.struct(confidence.alias("confidence"), F.coalesce(declared, over, said, F.lit("")).alias("symbol"))
-
-
 #: The order of symbols in a list: ``at`` first, the rest where it is equal.
 _LISTED = ["at", "name", "kind", "sym_start", "sym_end"]
 
@@ -232,3 +221,28 @@ def listed_inputs(chunks: DataFrame, symbols: DataFrame, cap: int = 20) -> DataF
     none = F.filter(F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in here.schema["_here"].dataType.elementType])), lambda x: F.lit(False))
     joined = chunks.join(here, ["path", "start_line", "end_line"], "left")
     return joined.withColumn("input", chunk_inputs(F.col("content"), F.col("start_line"), F.col("end_line"), F.coalesce("_here", none), cap)).drop("_here")
+
+
+def classify_chunks(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """C8 over tables as in C7: ``confidence, symbol``: declared here, overlapping, mentioned, or neither; the first symbol in list order.
+
+    Lines are compared once for each distinct run of them, mentions once for each
+    distinct text and name of a file, and only where lines decide nothing.
+    """
+    lines = ["path", "start_line", "end_line"]
+    s = symbols.where("name <> ''").withColumnsRenamed({"start_line": "sym_start", "end_line": "sym_end"})
+    few = _first_of(s, 1, "path", "sym_start", "sym_end").withColumns({"_end": F.col("sym_end"), "sym_end": F.greatest("sym_start", "sym_end")})
+    met = interval_overlap(chunks.select(*lines).distinct(), few)
+    row = F.struct("at", "name", "kind", "sym_start", F.col("_end").alias("sym_end"))
+    first = lambda test: F.min(F.when(test, row))["name"]
+    by_lines = met.groupBy(*lines).agg(
+        first(F.col("sym_start").between(F.col("start_line"), F.col("end_line"))).alias("_declared"),
+        first((F.col("sym_start") <= F.col("end_line")) & (F.col("_end") >= F.col("start_line"))).alias("_over"),
+    )
+    found = chunks.join(by_lines, lines, "left")
+    texts = found.where("_declared is null and _over is null and content is not null").select("path", "content").distinct()
+    names = s.groupBy("path", "name").agg(F.min(F.struct(*_LISTED)).alias("_row"))
+    said = texts.join(names, "path").where(F.contains("content", F.col("name"))).groupBy("path", "content").agg(F.min("_row")["name"].alias("_said"))
+    found = found.join(said, ["path", "content"], "left")
+    confidence = F.when(F.col("_declared").isNotNull(), "EXTRACTED").when(F.coalesce("_over", "_said").isNotNull(), "INFERRED").otherwise("AMBIGUOUS")
+    return found.withColumns({"confidence": confidence, "symbol": F.coalesce("_declared", "_over", "_said", F.lit(""))}).drop("_declared", "_over", "_said")
