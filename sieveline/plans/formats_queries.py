@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from email.message import EmailMessage
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +109,14 @@ def locked_zip(text: str) -> bytes:
 def made(texts: DataFrame, name: str, writer: Callable[[str], bytes]) -> DataFrame:
     """``id, text`` -> rows of the files that ``writer`` makes of the texts, read again: ``id, path, text, error``."""
 
-    @F.pandas_udf("binary")
-    def write(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.map(writer)
+            for start, n in extract.slices(batch.column(1)):
+                part = batch.slice(start, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([writer(x) for x in part.column(1).to_pylist()], pa.binary())], names=["path", "content"])
 
-    content = F.encode("text", "utf-8") if writer is None else write(F.col("text"))
-    files = texts.where("text is not null").select(F.concat(F.col("id").cast("string"), F.lit("/" + name)).alias("path"), content.alias("content"))
+    named = texts.where("text is not null").select(F.concat(F.col("id").cast("string"), F.lit("/" + name)).alias("path"), "text")
+    files = named.select("path", F.encode("text", "utf-8").alias("content")) if writer is None else named.mapInArrow(write, "path string, content binary")
     return extract.extracted(files).select(F.substring_index("path", "/", 1).cast("long").alias("id"), F.expr("substring(path, instr(path, '/') + 1)").alias("path"), "text", "error")
 
 
