@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import symbols_of
 from ..operators.joins import interval_overlap
+from .extract import slices
 from .files import CHUNK_BYTES, CODE_EXTENSIONS, CODE_NAMES, MAX_CHUNKS_PER_FILE
 
 CHUNK = "struct<content:string,start_line:int,end_line:int>"
@@ -143,10 +145,14 @@ def chunks_of(path: Column, content: Column, budget: int = CHUNK_BYTES, how: str
     kinds = {"file": chunk_file, "code": lambda p, b, n: code_chunks(b, n), "prose": lambda p, b, n: prose_chunks(b, n), "symbols": symbol_chunks}
     split = kinds[how]
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.struct([("content", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
+
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for paths, texts in batches:
-            yield pd.Series([[{"content": c, "start_line": a, "end_line": b} for c, a, b in split(p or "", (t or "").encode(), budget)] for p, t in zip(paths, texts)])
+            for at, n in slices(texts):
+                pairs = zip(paths.slice(at, n).to_pylist(), texts.slice(at, n).to_pylist())
+                yield pa.array([[{"content": c, "start_line": a, "end_line": b} for c, a, b in split(p or "", (t or "").encode(), budget)] for p, t in pairs], kind)
 
     return run(path, content)
 
