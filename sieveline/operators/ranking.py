@@ -6,6 +6,9 @@ Scores are rounded to nine digits before they are compared.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +32,79 @@ def similar(chunks: DataFrame, query: list[float], k: int, *, vector: str = "emb
     return ordered.limit(k) if k > 0 else ordered
 
 
+def _best(batches, asked, k: int):
+    """``qid, key, score`` of rows that may be among a query's best ``k`` of this task; ``asked``: ids and matrices by length of vector.
+
+    Single precision tells which pairs may reach the worst of a query's best so far; those are scored in double.
+    """
+    held = {d: np.full((len(ids), k), -np.inf) for d, (ids, _) in asked.items()}
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column(0)))  # ties go by key
+        column = batch.column(1)
+        sizes, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.cumsum(sizes) - sizes
+        for d, (ids, q) in asked.items():
+            whole = np.flatnonzero(sizes == d)  # what has another length scores 0
+            x = np.zeros((len(sizes), d))
+            x[whole] = flat[starts[whole][:, None] + np.arange(d)]
+            for at in range(0, len(x), 2048):
+                rows = x[at : at + 2048]
+                lengths = np.sqrt((rows * rows).sum(1))
+                lengths[lengths == 0] = 1.0
+                single = (rows / lengths[:, None]).astype(np.float32).T
+                for first in range(0, len(ids), 512):
+                    part, best = q[first : first + 512], held[d][first : first + 512]
+                    own = np.sqrt((part * part).sum(1))
+                    own[own == 0] = 1.0
+                    near = (part / own[:, None]).astype(np.float32) @ single
+                    floor = best[:, 0]
+                    if len(rows) > k and np.isinf(floor).any():
+                        floor = np.maximum(floor, np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k])
+                    i, j = np.nonzero(near >= (floor - 1e-5 - 1e-6 * d)[:, None])
+                    score = np.empty(len(i))
+                    for c in range(0, len(i), 1 << 15):
+                        u, v = i[c : c + (1 << 15)], j[c : c + (1 << 15)]
+                        score[c : c + (1 << 15)] = np.einsum("ij,ij->i", part[u], rows[v]) / (own[u] * lengths[v])
+                    score = np.round(score, 9) + 0.0
+                    order = np.lexsort((j, -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    kept = (place < k) & (score >= best[i, 0])
+                    i, j, score, place = i[kept], j[kept], score[kept], place[kept]
+                    if len(i):
+                        new = np.full((len(part), k), -np.inf)
+                        new[i, place] = score
+                        best[:] = np.sort(np.concatenate([best, new], axis=1), axis=1)[:, -k:]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + i]), batch.column(0).take(pa.array(at + j)), pa.array(score)], names=["qid", "key", "score"])
+
+
 def knn(chunks: DataFrame, queries: DataFrame, k: int, *, vector: str = "embedding", key: str = "id") -> DataFrame:
-    """The ``k`` nearest rows of each query (``qid, qvec``): ``qid, key, score, rank``.
+    """The ``k`` nearest rows of each query (``qid long, qvec``): ``qid, key, score, rank``.
 
-    A stated query set against all rows: queries are broadcast in blocks of
-    bounded size, each block's rows are reduced per task before the exchange.
+    A stated query set against all rows: queries travel in blocks of bounded size, a
+    task multiplies its rows with a block as matrices and passes on what may be among
+    the best. Vectors with elements that are null or not finite are compared one by one.
     """
-    q = queries.select("qid", F.col("qvec"), norm(F.col("qvec")).alias("qnorm"))
+    plain = lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < 1e15))
+    q = queries.select("qid", "qvec", norm(F.col("qvec")).alias("qnorm"))
     rows = chunks.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"), norm(F.col(vector)).alias("vnorm"))
+    kind, session = rows.schema["key"].dataType.simpleString(), chunks.sparkSession
     blocks = max(1, -(-q.count() // MAX_BROADCAST_QUERIES))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "key")
     out = None
     for block in range(blocks):
         part = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        pairs = rows.join(F.broadcast(part), F.lit(True)).select("qid", "key", F.round(cosine(F.col("qvec"), F.col("v"), F.col("qnorm"), F.col("vnorm")), 9).alias("score"))
-        w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "key")
+        asked: dict = {}
+        for r in part.where(plain(F.col("qvec"))).select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec")).collect():  # about MAX_BROADCAST_QUERIES rows
+            asked.setdefault(len(r.qvec), []).append(r)
+        shared = session.sparkContext.broadcast({d: (np.array([r.qid for r in rs], np.int64), np.array([r.qvec for r in rs], np.float64).reshape(len(rs), d)) for d, rs in asked.items()})
+        sound = rows.where(plain(F.col("v"))).select("key", F.col("v").cast("array<double>").alias("v"))
+        near = sound.mapInArrow(lambda batches, shared=shared: _best(batches, shared.value, k), f"qid long, key {kind}, score double")
+        one_by_one = lambda r, p: r.join(F.broadcast(p), F.lit(True)).select(F.col("qid").cast("long").alias("qid"), "key", F.round(cosine(F.col("qvec"), F.col("v"), F.col("qnorm"), F.col("vnorm")), 9).alias("score"))
+        odd = one_by_one(rows.where(~plain(F.col("v"))), part)
+        pairs = near.unionByName(odd)
+        if part.count() > sum(map(len, asked.values())):
+            pairs = pairs.unionByName(one_by_one(rows.where(plain(F.col("v"))), part.where(~plain(F.col("qvec")) | F.col("qvec").isNull())))
         top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out
