@@ -32,6 +32,8 @@ from .ranking import knn
 
 #: Vectors sampled a centroid; centroids at most (they travel to every task); queries of a block; rows a file of a list.
 SAMPLE_PER_LIST, MAX_LISTS, BLOCK, FILE_ROWS = 64, 4096, 4096, 200_000
+#: Queries scored against an Arrow batch at a time.
+SCORED = 128
 #: Share of the lists that a query probes unless it is calibrated; rows whose neighbours calibrate it.
 PROBES, CALIBRATE = 0.25, 128
 
@@ -113,15 +115,12 @@ def write_index(chunks: DataFrame, centroids: np.ndarray, path: str, *, vector:
     dealt.repartition("list", "_part").drop("_parts", "_part").write.mode("overwrite").partitionBy("list").parquet(path)
 
 
-def probed(queries: list[tuple], centroids: np.ndarray, probes: int) -> dict[int, tuple[list, np.ndarray]]:
-    """For each list that one of the queries ``(qid, vector)`` probes: the queries' ids and unit vectors."""
-    vectors = unit(np.array([v for _, v in queries], np.float32))
+def probed(vectors: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """Which queries (unit vectors) probe each list: a packed bit a query, ``lists x ceil(queries / 8)``, so a block's plan stays small."""
+    asks = np.zeros((len(centroids), len(vectors)), bool)
     near = np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :probes]
-    out: dict[int, list[int]] = {}
-    for i, row in enumerate(near.tolist()):
-        for at in row:
-            out.setdefault(at, []).append(i)
-    return {at: ([queries[i][0] for i in rows], vectors[rows]) for at, rows in out.items()}
+    asks[near.ravel(), np.repeat(np.arange(len(vectors)), near.shape[1])] = True
+    return np.packbits(asks, axis=1)
 
 
 def calibrated(chunks: DataFrame, centroids: np.ndarray, path: str, k: int, *, target: float = 0.95, vector: str = "embedding", key: str = "id") -> int:
@@ -153,21 +152,26 @@ def search(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataF
         rows = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).collect()  # about BLOCK rows
         if not rows:
             continue
-        asked = probed([(r.qid, r.qvec) for r in rows], centroids, probes)
+        ids, vectors = np.array([r.qid for r in rows], np.int64), unit(np.array([r.qvec for r in rows], np.float32))
+        asks = probed(vectors, centroids, probes)
+        shared = spark.sparkContext.broadcast((ids, vectors, asks))
 
-        def run(batches, asked=asked):
+        def run(batches, shared=shared):
+            ids, vectors, asks = shared.value
             for batch in batches:
                 lists = batch.column(2).to_numpy()
                 for at in np.unique(lists).tolist():
-                    ids, vectors = asked[at]
                     part = batch.filter(pa.array(lists == at))
-                    scores = unit(_matrix(part.column(1), dims)).astype(np.float64) @ vectors.astype(np.float64).T
-                    best = np.argpartition(-scores, min(2 * k, len(scores)) - 1, axis=0)[: 2 * k]  # rounding may tie: more than k go on
-                    held = part.column(0).take(pa.array(best.ravel()))
-                    qid = np.tile(np.array(ids, np.int64), len(best))
-                    yield pa.RecordBatch.from_arrays([pa.array(qid), held, pa.array(np.take_along_axis(scores, best, 0).ravel())], names=["qid", "key", "score"])
-
-        hits = index.where(F.col("list").isin(list(asked))).select("key", "v", "list").mapInArrow(run, f"qid long, key {kind}, score double")
+                    x = unit(_matrix(part.column(1), dims)).astype(np.float64)
+                    here = np.flatnonzero(np.unpackbits(asks[at], count=len(ids)))
+                    for first in range(0, len(here), SCORED):
+                        some = here[first : first + SCORED]
+                        scores = x @ vectors[some].astype(np.float64).T
+                        best = np.argpartition(-scores, min(2 * k, len(scores)) - 1, axis=0)[: 2 * k]  # rounding may tie: more than k go on
+                        held = part.column(0).take(pa.array(best.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[some], len(best))), held, pa.array(np.take_along_axis(scores, best, 0).ravel())], names=["qid", "key", "score"])
+
+        hits = index.where(F.col("list").isin(np.flatnonzero(asks.any(axis=1)).tolist())).select("key", "v", "list").mapInArrow(run, f"qid long, key {kind}, score double")
         hits = hits.withColumn("score", F.round("score", 6))
         top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "key"))).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
