@@ -193,12 +193,12 @@ def _plain(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def _streamed(spark, df, ts, name, last):
+def _streamed(spark, df, ts, name, last, group=None):
     """A table as a stream of files in the order of time; ``last``: a row far ahead, so that every window before it closes."""
     path = fresh_path(spark, name)
-    pairing.in_order_files(df, ts, path)
+    files = pairing.in_order_files(df, ts, path, group=group)
     spark.createDataFrame([last], df.schema).coalesce(1).write.mode("append").parquet(path)
-    return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), files
 
 
 def _far(t):
@@ -232,9 +232,10 @@ def _(spark, t):
     """Jobs of users: views queue them, clicks claim, purchases finish, errors fail; leases of two days run out."""
     kind = F.create_map(*[F.lit(x) for pair in (("view", "enqueue"), ("click", "claim"), ("purchase", "done"), ("error", "fail")) for x in pair])[F.col("event_type")]
     rows = t("events").select(F.col("user_id").alias("key"), _at().alias("at"), F.coalesce(kind, F.lit("heartbeat")).alias("kind"), F.col("event_id").alias("seq"))
-    path, schema = _streamed(spark, rows, "at", "jobs", (-1, _far(t), "heartbeat", 0))
+    buckets = timers.buckets_for(rows, "key")
+    source = _streamed(spark, rows, "at", "jobs", (-1, _far(t), "heartbeat", 0), group=timers.bucket("key", buckets))
     out = fresh_path(spark, "leases")
-    changes = timers.job_leases(pairing.file_stream(timers.with_rocksdb(spark), path, schema), lease_seconds=2 * 86_400)
+    changes = timers.job_leases(pairing.file_stream(timers.with_rocksdb(spark), *source), lease_seconds=2 * 86_400, buckets=buckets)
     changes.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return _plain(spark.read.parquet(f"{out}/rows"), "at")
 

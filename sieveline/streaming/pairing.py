@@ -8,9 +8,12 @@ their side's watermark are dropped by Spark and counted in the query's progress
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..operators.lineage import fresh_path
 
 REQUEST = "request_id long, key long, sent timestamp"
 RESPONSE = "response_id long, key long, answered timestamp"
@@ -48,22 +51,35 @@ def state_rows(query: StreamingQuery) -> int:
     return sum(int(state["numRowsTotal"]) for state in last["stateOperators"]) if last else 0
 
 
-#: Rows of a slice, which one task writes.
-SLICE_ROWS = 1_000_000
+#: Rows of a slice's file, which one task writes; rows of one group in a slice that is cut by groups.
+SLICE_ROWS, GROUP_ROWS = 1_000_000, 100_000
 
 
-def in_order_files(df: DataFrame, ts: str, path: str, least: int = 3) -> int:
-    """A table as files in the order of a time, as a producer would leave them: slice after slice, one file each; returns their number.
+def in_order_files(df: DataFrame, ts: str, path: str, least: int = 3, group: Column | None = None) -> int:
+    """A table as files in the order of a time, as a producer would leave them: slice after slice; returns the files of a slice.
 
-    Slices end at approximate quantiles of the time, about ``SLICE_ROWS`` rows apart; rows without one go first.
+    Slices end at approximate quantiles of the time; rows without one go first. A slice is one file of about
+    ``SLICE_ROWS`` rows. With ``group`` there are as many slices as keep a group's rows in each below about ``GROUP_ROWS``,
+    whatever the number of groups, and a slice may be several files: a reader that pays for each group in a batch
+    then pays a few times a group. The table is read once and dealt into its slices, so a slice costs its own rows only.
     """
+    spark = df.sparkSession
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    slices = max(least, -(-df.count() // SLICE_ROWS))
+    rows = df.count()
+    if group is None:
+        slices, files = max(least, -(-rows // SLICE_ROWS)), 1
+    else:
+        most = df.groupBy(group.alias("_group")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        slices = max(least, -(-most // GROUP_ROWS))
+        files = max(1, -(-rows // (slices * SLICE_ROWS)))
     ends = df.select(seconds.alias("s")).where("s is not null").approxQuantile("s", [(i + 1) / slices for i in range(slices - 1)], min(0.01, 0.2 / slices))
-    number = sum(((seconds > e).cast("int") for e in ends), F.lit(0))
+    number = F.coalesce(sum(((seconds > e).cast("int") for e in ends), F.lit(0)), F.lit(0))
+    dealt = fresh_path(spark, "dealt")
+    df.withColumn("_slice", number).write.partitionBy("_slice").parquet(dealt)
     for i in range(slices):
-        df.where(F.coalesce(number, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
-    return slices
+        own = spark.read.schema(StructType([*df.schema.fields, StructField("_slice", IntegerType())])).parquet(dealt).where(F.col("_slice") == i).drop("_slice")  # its folder only
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+    return files
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
