@@ -1,12 +1,16 @@
 """Weighted medians by key in two phases: bounded partial states per task, merged by key, exact in the end.
 
+States pay for keys of more than ``EXACT_ROWS`` rows only. The others are sorted by key and added up, which holds
+that many rows of a key at most. The rest of this text is about the large keys.
+
 A task summarises its rows of a key as at most ``CELLS`` cells (least value, greatest value,
 weight) of about equal weight; equal values are never parted. Cells of all tasks are merged in two
 steps: by key and a salt, compacted to ``CELLS`` again, then by key. What the cells prove is a
 stretch in which the median must lie. Keys whose stretch isn't one value yet go through the rows
 again, which now only cells inside the stretch (and the weight below it) count for; each
-pass narrows a stretch by about ``CELLS``, so a handful of passes ends with the exact value, and no task ever holds
-a key's rows.
+pass narrows a stretch by about ``CELLS``. A stretch of ``EXACT_ROWS`` rows or fewer is sorted and added up, so two or
+three passes end with the exact value, and no task ever holds a large key's rows. What is known of the large keys, a
+row each and thus one for ``EXACT_ROWS`` rows of the table at most, is broadcast: the rows stay where they are.
 
 The median is the least value whose weight, with all below it, reaches half of the key's total.
 Null values, and weights that are null or not positive, don't take part.
@@ -15,6 +19,7 @@ Null values, and weights that are null or not positive, don't take part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,8 @@ from .lineage import cut
 
 #: Cells of a state; keys that a task holds before it hands its states on; salts of a key's states; rows held before they are summarised.
 CELLS, HELD_KEYS, SALTS, PENDING = 64, 20_000, 8, 1 << 18
+#: Rows of a key that are sorted and added up at once.
+EXACT_ROWS = 1 << 14
 _STATE = "key string, low double, high double, weight double"
 _ARROW = pa.schema([("key", pa.string()), ("low", pa.float64()), ("high", pa.float64()), ("weight", pa.float64())])
 
@@ -113,20 +120,42 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, *,
     name = F.to_json(F.array(*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0null")) for k in keys]))
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (w > 0)).select(name.alias("key"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], v.alias("value"), w.alias("weight"))
     firsts = [F.any_value(f"_k{i}").alias(f"_k{i}") for i in range(len(keys))]
-    known = cut(rows.groupBy("key").agg(F.sum("weight").alias("total_weight"), *firsts))
-    totals = known.select("key", (F.col("total_weight") / 2).alias("half"), F.lit(0.0).alias("below"))
-    slim, done = rows.select("key", "value", "weight"), None
-    current = slim
+    known = cut(rows.groupBy("key").agg(F.sum("weight").alias("total_weight"), F.count("*").alias("_n"), *firsts))
+    slim, large, done = rows.select("key", "value", "weight"), known.where(F.col("_n") > EXACT_ROWS), []
+    some = not large.isEmpty()
+    if not some or not known.where(F.col("_n") <= EXACT_ROWS).isEmpty():
+        small = slim.join(F.broadcast(large.select("key")), "key", "left_anti") if some else slim
+        done.append(_summed(small.select("*", (F.sum("weight").over(Window.partitionBy("key")) / 2).alias("half"), F.lit(0.0).alias("below"))))
+    if some:
+        done += _narrowed(slim, large.select("key", (F.col("total_weight") / 2).alias("half"), F.lit(0.0).alias("below")), cells, max_passes)
+    named = known.join(reduce(DataFrame.unionByName, done), "key")
+    return named.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "median", "total_weight")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """``key, median`` of ``key, value, weight, half, below``: the first value at which the weight, with ``below`` under these rows, reaches half."""
+    upto = Window.partitionBy("key").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("_c", F.col("below") + F.sum("weight").over(upto))
+    return ranked.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("_c") >= F.col("half"), F.col("value"))), F.max("value")).alias("median"))
+
+
+def _narrowed(slim: DataFrame, totals: DataFrame, cells: int, max_passes: int) -> list[DataFrame]:
+    """``key, median`` of the keys in ``totals``, in parts, by states and narrowing passes."""
+    current, done = slim.join(F.broadcast(totals.select("key")), "key", "left_semi"), []
     for _ in range(max_passes):
         found = cut(stretches(merge(states(current, cells), cells), totals))
-        ended = found.where("low = high").select("key", F.col("low").alias("median"))
-        done = ended if done is None else done.unionByName(ended)
+        done.append(found.where("low = high").select("key", F.col("low").alias("median")))
         left = found.where("low < high")
         if left.isEmpty():
-            named = known.join(done, "key")
-            return named.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "median", "total_weight")
-        near = slim.join(left.select("key", "low", "high", "half"), "key")  # a row a key that isn't settled
-        under = near.where("value < low").groupBy("key").agg(F.sum("weight").alias("below"))
-        totals = cut(left.select("key", "half").join(under, "key", "left").select("key", "half", F.coalesce("below", F.lit(0.0)).alias("below")))
-        current = near.where("value >= low and value <= high").select("key", "value", "weight")
+            return done
+        inside = F.col("value") >= F.col("low")
+        near = slim.join(F.broadcast(left), "key").where("value <= high").groupBy("key", "low", "high", "half")
+        counted = cut(near.agg(F.coalesce(F.sum(F.when(~inside, F.col("weight"))), F.lit(0.0)).alias("below"), F.count(F.when(inside, 1)).alias("n")))
+        few, many = counted.where(F.col("n") <= EXACT_ROWS), counted.where(F.col("n") > EXACT_ROWS)
+        if not few.isEmpty():
+            done.append(_summed(slim.join(F.broadcast(few), "key").where("value between low and high").select("key", "value", "weight", "half", "below")))
+        if many.isEmpty():
+            return done
+        totals = many.select("key", "half", "below")
+        current = slim.join(F.broadcast(many), "key").where("value between low and high").select("key", "value", "weight")
     raise RuntimeError(f"medians haven't settled in {max_passes} passes")
