@@ -125,7 +125,10 @@ def _documents(t) -> DataFrame:
 
 
 def _parts(t, text: Column | str = "p_name") -> DataFrame:
-    return t("part").select(F.col("p_partkey").alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
+    """Over all cores, where the scan of a small file brings its rows in a few tasks: making a file of a row costs much more than its way there."""
+    rows = t("part").select(F.col("p_partkey").alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
 
 
 def _hashes(rows: DataFrame) -> DataFrame:
