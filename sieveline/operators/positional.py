@@ -9,11 +9,16 @@ begins at the least of the terms' last places; it is a cover when that beginning
 rank is the sum over covers of ``WEIGHT / (1 + noise)``, noise being the places inside that hold none
 of the terms. A text without one of the terms has no cover and rank 0.
 
-Everything is built-in functions over arrays of places: a text's places of a few terms, never an index's.
+Lists are made of each row's words where the row is; rows meet only if a key has several. All else is built-in functions over arrays of places: a text's places of a few terms, never an index's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from .ranking import tokens_of
 
 #: Weight of a term; parts of a written index.
 WEIGHT, PARTS = 0.1, 64
+#: Words that a Python worker puts in order at a time.
+SLICE_WORDS = 1 << 20
 
 
 def build(chunks: DataFrame, *, text: str = "content", key: str = "id", terms: list[str] | None = None) -> DataFrame:
@@ -29,8 +36,45 @@ def build(chunks: DataFrame, *, text: str = "content", key: str = "id", terms: l
     words = F.transform("_t", lambda w, i: F.struct(w.alias("term"), (i + 1).alias("place")))
     if terms is not None:
         words = F.filter(words, lambda w: w["term"].isin(_terms(terms)))
-    rows = t.select("key", F.explode(words).alias("w")).select("key", "w.*")
-    return rows.groupBy("term", "key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        rows = t.select("key", F.explode(words).alias("w")).select("key", "w.*")
+        return rows.groupBy("term", "key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    lists = t.mapInArrow(_place_lists, f"term string, key {t.schema['key'].dataType.simpleString()}, places array<int>")
+    if chunks.groupBy(F.col(key)).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return lists  # a text's words are all in its row, so nothing has to meet
+    return lists.groupBy("term", "key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def _place_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, _t`` (words in order) -> ``term, key, places`` of each row, without an exchange; whole columns at a time."""
+    for batch in batches:
+        for start, n in _slices(batch.column(1)):
+            part = batch.slice(start, n)
+            lists = part.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            words = lists.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            row = np.repeat(np.arange(n), sizes)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            code = words.indices.to_numpy()
+            order = np.lexsort((place, code, row))
+            row, code, place = row[order], code[order], place[order]
+            at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
+            places = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(place, pa.int32()))
+            terms = words.dictionary.take(pa.array(code[at]))
+            yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), part.column(0).take(pa.array(row[at])), places], names=["term", "key", "places"])
+
+
+def _slices(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """``start, rows`` of runs of about ``SLICE_WORDS`` words, or of one larger text."""
+    start = held = 0
+    for at, size in enumerate(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()):
+        if at > start and held + size > SLICE_WORDS:
+            yield start, at - start
+            start, held = at, 0
+        held += size
+    if start < len(lists):
+        yield start, len(lists) - start
 
 
 def _terms(terms: list[str]) -> list[str]:
