@@ -2,15 +2,19 @@
 
 A uniform shuffle into shards of exact sizes, without one global sort:
 
-1. write the rows with their source partition and their place in it to the shared
-   folder, so that all later steps and retries see the same rows;
+1. permute each source partition in its own task, and write its rows with the
+   partition and their rank in it to the shared folder, so that all later steps and
+   retries see the same rows;
 2. draw the matrix on the driver: how many rows of each source partition go to
    each shard, multivariate hypergeometric with the shard sizes as margins;
-3. permute each source partition and deal its rows by the matrix's row;
+3. deal the ranks of each source partition by the matrix's row;
 4. exchange the rows, and permute each shard again.
 
-A permutation is a sort by a keyed hash, taken in sub-buckets of about
-``BUCKET_ROWS`` rows by the hash's range, so no task holds a whole shard or partition.
+So whole rows are on disk as staged, as exchanged once and as shards.
+
+A permutation is a sort by a keyed hash. A source partition's is a task's sort, which
+spills to disk; a shard's is taken in sub-buckets of about ``BUCKET_ROWS`` rows by the
+hash's range, so no task holds a whole shard.
 
 Shard sizes differ by at most one (law ``rows``). Which documents are equal has no
 influence: copies fall where the shuffle puts them.
@@ -26,12 +30,13 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, stage
 
-BUCKET_ROWS = 100_000
+#: So few that a task gets several of them, which keeps tasks even.
+BUCKET_ROWS = 1_000
 
 
 #: log(n!) less Stirling's formula for small n; a series gives the others.
@@ -125,11 +130,16 @@ def matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """All columns of ``df`` with ``shard`` int and ``slot`` long, which replace columns of these names; others may have any name.
 
-    The rows are written once to the shared folder with their place, and exchanged whole.
+    The rows are written once to the shared folder with their rank, and exchanged whole once.
     """
     spark = df.sparkSession
     row = F.struct(*[df[f"`{c}`"] for c in df.columns if c not in ("shard", "slot")])
-    keyed = stage(df.select(row.alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "rows")
+    first = F.xxhash64(F.lit(seed), F.lit("first"), "at")
+    second = F.xxhash64(F.lit(seed), F.lit("second"), "at")
+    placed = df.select(row.alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    local = placed.withColumn("hash", first).sortWithinPartitions(_upper(), "hash", "at")
+    rank = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))  # a row's number in its partition, as sorted
+    keyed = stage(local.select("row", "part", "at", rank.alias("rank")), "rows")
     counts = {r.part: r.n for r in keyed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
     total = sum(counts.values())
     sizes = [total // shards + (i < total % shards) for i in range(shards)]
@@ -137,24 +147,25 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     rows = matrix([counts[p] for p in names], sizes, seed)
     ends = [(p, [sum(row[: i + 1]) for i in range(shards)]) for p, row in zip(names, rows)]
     dealt = spark.createDataFrame(ends, "part int, ends array<long>")  # partitions x shards numbers
-    first = F.xxhash64(F.lit(seed), F.lit("first"), "at")
-    second = F.xxhash64(F.lit(seed), F.lit("second"), "at")
-    # each source partition's rows in sub-buckets by their hash, so a permutation is no task's whole partition
-    local = _ranked(keyed.withColumn("hash", first), "part", max(counts.values(), default=0))
-    placed = local.join(F.broadcast(dealt), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
-    out = _ranked(placed.select("row", "at", "shard").withColumn("hash", second), "shard", max(sizes, default=0))
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    sent = keyed.join(F.broadcast(dealt), "part").select("row", "at", shard.alias("shard"), second.alias("hash"))
+    out = _ranked(sent, "shard", max(sizes, default=0))
     return out.select("row.*", "shard", F.col("rank").alias("slot"))
 
 
+def _upper() -> Column:
+    """0 to 2**31 - 1, by which rows are sorted and cut into sub-buckets."""
+    return F.shiftrightunsigned("hash", 33).cast("long")
+
+
 def _ranked(rows: DataFrame, key: str, largest: int) -> DataFrame:
     """Adds ``rank``, from 0 within each key by ``hash`` (then ``at``), counted in sub-buckets of about ``BUCKET_ROWS`` rows."""
     buckets = max(1, -(-largest // BUCKET_ROWS))
-    upper = F.shiftrightunsigned("hash", 33).cast("long")  # 0 to 2**31 - 1, cut into equal ranges
-    rows = rows.withColumn("upper", upper).withColumn("bucket", F.floor(F.col("upper") * buckets / F.lit(2.0**31)).cast("int"))
+    rows = rows.withColumn("upper", _upper()).withColumn("bucket", F.floor(F.col("upper") * buckets / F.lit(2.0**31)).cast("int"))
     held = rows.groupBy(key, "bucket").agg(F.count("*").alias("n"))
     base = held.select(key, "bucket", (F.sum("n").over(Window.partitionBy(key).orderBy("bucket")) - F.col("n")).alias("base"))
     number = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("upper", "hash", "at"))
-    ranked = rows.withColumn("number", number).join(F.broadcast(base), [key, "bucket"])  # one row a bucket
+    ranked = rows.withColumn("number", number).join(base, [key, "bucket"])  # one row a bucket; the rows stay where the window has them
     return ranked.withColumn("rank", (F.col("base") + F.col("number") - 1).cast("long")).drop("upper", "bucket", "number", "base", "hash")
 
 

@@ -345,6 +345,15 @@ def test_op5_buckets_and_odd_inputs(spark, monkeypatch):
     assert hypershuffle.shuffle_into_shards(empty(spark), 4).count() == 0
 
 
+def test_op5_whole_rows_are_exchanged_once(spark, sf):
+    """On disk are rows as staged, as exchanged once and as shards; a source partition is permuted without an exchange."""
+    out = hypershuffle.shuffle_into_shards(spark.read.parquet(f"{sf}/documents.parquet"), 8, seed=5)
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = out._jdf.queryExecution().explainString(formatted)
+    sent = re.findall(r"Exchange *\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert len([columns for columns in sent if re.search(r"\brow#", columns)]) == 1
+
+
 def test_op6_extracts_articles(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in q.op6_scored_html_region(spark, sf).collect():
