@@ -117,7 +117,7 @@ def fit(training: DataFrame, dims: int = DIMS, clusters: int = CLUSTERS, sample:
                 if c is not None:
                     df += c > 0
                     n += 1
-        yield vector_rows({0: df, 1: np.array([n], float)})
+        yield from vector_rows({0: df, 1: np.array([n], float)})
 
     sums = sum_vectors(training.select("text").mapInArrow(frequencies, VECTOR_ROWS), {0: dims, 1: 1})
     idf = np.log((1 + sums[1][0]) / (1 + sums[0])) + 1
@@ -170,7 +170,7 @@ def fit(training: DataFrame, dims: int = DIMS, clusters: int = CLUSTERS, sample:
                 i, c = of[lang][int(np.argmax(cosines))], float(cosines.max())
                 total[i] += v
                 seen[i] += (1, c, c * c)
-        yield vector_rows({**{2 * i: t for i, t in enumerate(total)}, **{2 * i + 1: s for i, s in enumerate(seen)}})
+        yield from vector_rows({**{2 * i: t for i, t in enumerate(total)}, **{2 * i + 1: s for i, s in enumerate(seen)}})
 
     sizes_of = {k: (dims, 3)[k % 2] for k in range(2 * len(langs))}
     sums = sum_vectors(training.select("text", "lang").mapInArrow(means, VECTOR_ROWS), sizes_of)

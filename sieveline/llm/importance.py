@@ -101,7 +101,8 @@ def models(docs: DataFrame, ids: list[int], buckets: int = BUCKETS) -> tuple[np.
                     else:
                         model += counts
         _HASHES.clear()  # a reused worker keeps nothing for other operators' tasks
-        yield vector_rows({0: raw, 1: target})
+        yield from vector_rows({0: raw, 1: target})
+        release()
 
     sums = sum_vectors(docs.select("doc_id", "text").mapInArrow(run, VECTOR_ROWS), {0: buckets, 1: buckets})
     return sums[1], sums[0]
@@ -136,6 +137,7 @@ def weights(docs: DataFrame, ratios: np.ndarray, ids: list[int]) -> DataFrame:
             columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(crc, pa.int64()), pa.array([i in unseen for i in batch.column(0).to_pylist()], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=["doc_id", "n_grams", "weight", "crc", "unseen", *batch.schema.names[2:]])
         _HASHES.clear()
+        release()
 
     schema = StructType([*StructType.fromDDL("doc_id long, n_grams long, weight double, crc long, unseen boolean").fields, *rows])
     return docs.select("doc_id", "text", *[f.name for f in rows]).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import only, ship
-from .tokens import tokenizer
+from .tokens import tokenizer, trim
 
 CAPACITY = 2048
 GROUP = 512
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
             close()
         if rows:
             yield table()
+        trim()  # the tokenizer stays for the worker's next task
 
     kinds = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, kinds)
